@@ -10,6 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MARKS = re.compile("[̀-ͯ]+")
 #: Fixed: format characters that no reader sees (zero-width blanks and joiners, soft hyphen, BOM, directions).
@@ -42,13 +43,13 @@ def fold_words(s: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC."""
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Folded words joined by one blank: case, accents, punctuation and blanks ignored."""
     return s.map(lambda x: " ".join(fold_words(x)), na_action="ignore")

@@ -24,9 +24,9 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], by: tupl
     totals = placed.groupBy("_pid", *by).agg(*[F.sum(v).alias(o) for o, v in sums.items()])
     offsets = totals.select("_pid", *by, *[F.coalesce(F.sum(o).over(before), F.lit(0)).alias(f"_o_{o}") for o in sums])
     local = placed.withColumns({o: F.sum(v).over(inside) for o, v in sums.items()})
-    on = (local["_pid"] == offsets["_pid"]) if not by else (local["_pid"] == offsets["_pid"])
+    on = local["_pid"] == offsets["_pid"]
     for c in by:
         on = on & local[c].eqNullSafe(offsets[c])
-    return local.join(F.broadcast(offsets), on).select(
+    return local.join(offsets, on).select(
         *[local[c] for c in df.columns], *[(local[o] + offsets[f"_o_{o}"]).alias(o) for o in sums]
     )
