@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramsu.llm import pieces, sampling, splitting, tokenize
+from tramsu.llm import leaks, pieces, questions, sampling, splitting, tokenize
 from tramsu.session import read
 
 
@@ -24,6 +24,20 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    first = leaks.overlaps(read(spark, d, "corpus"), "context_id", "context", "passage").withColumn("record_kind", F.lit("corpus"))
+    second = leaks.overlaps(read(spark, d, "qa_pairs"), "qa_id", "question", "question").withColumn("record_kind", F.lit("qa_pairs"))
+    both = first.unionByName(second)
+    return both.select("record_kind", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    corpus, qa = read(spark, d, "corpus"), read(spark, d, "qa_pairs")
+    first = leaks.report(leaks.overlaps(corpus, "context_id", "context", "passage"), corpus, "context_id")
+    second = leaks.report(leaks.overlaps(qa, "qa_id", "question", "question"), qa, "qa_id")
+    return first.withColumn("record_kind", F.lit("corpus")).unionByName(second.withColumn("record_kind", F.lit("qa_pairs")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     _, plan = pieces.split_texts(read(spark, d, "corpus"), "context_id", "context")
     return plan.where("piece_no = 2").select(F.regexp_replace("id", r"#\d+$", "").alias("context_id")).distinct()
@@ -41,6 +55,15 @@ def p6_plan(spark: SparkSession, d: str) -> DataFrame:
     return splitting.keep_together(read(spark, d, "corpus"), read(spark, d, "qa_pairs"))[0]
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    members, _ = questions.groups(read(spark, d, "exam_dashboard"))
+    return questions.pairs(members).select(F.col("a").alias("item_id_a"), F.col("b").alias("item_id_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return questions.groups(read(spark, d, "exam_dashboard"))[0].withColumnRenamed("key", "item_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(read(spark, d, "documents"))
 
