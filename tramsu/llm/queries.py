@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramsu.llm import leaks, pieces, questions, sampling, splitting, tokenize
+from tramsu.llm import contamination, leaks, pieces, quality, questions, sampling, splitting, tokenize
 from tramsu.session import read
 
 
@@ -73,6 +73,22 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.decode(tokenize.encode(read(spark, d, "documents")))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(read(spark, d, "documents"), read(spark, d, "exam_items")).select("doc_id", "id")
+
+
+def p9_places(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(read(spark, d, "documents"), read(spark, d, "exam_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.kinds(read(spark, d, "documents")).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.kinds(read(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
