@@ -26,6 +26,7 @@ COMMON = frozenset(
 )
 _VOWEL = re.compile(r"[aeiouy]")
 _BULLET = re.compile(r"^\s*(?:[-*•·–—+▪◦‣»>]|\(?\d{1,4}\s?[.):–-]|\(?[A-Za-zĐđ][.)]|\[.?\]|[IVXLC]{1,6}[.)])\s+\S")
+_MARKER = re.compile(r"(?m)^\s*\(?\w{1,4}[.)]\s+")
 _COLUMNS = re.compile(r"\S(?: {2,}|\t| ?\| ?|;|,)(?=\S)")
 _RULE = re.compile(r"^[\s|+:=-]{3,}$")
 _SENTENCE_END = re.compile(r"[.!?…][\"'”’»)\]]*(?=\s|$)")
@@ -67,7 +68,7 @@ def statistics(text: str) -> list[float]:
     in_columns = sum(w for c, w, x in zip(columns, weights, lines, strict=True) if _RULE.match(x) and len(lines) > 2 or c == usual_columns and usual[0][1] > 2 and not ends(x))
     # rows framed with bars stand in columns even if there are only two
     framed = share(lambda x: x.count("|") > 2 or bool(_RULE.match(x)) and ("|" in x or "+" in x))
-    sentences = len(_SENTENCE_END.findall(text))
+    sentences = len(_SENTENCE_END.findall(_MARKER.sub("", text)))
     lengths = np.array(weights[:-1] or weights, dtype=float)
     count = Counter(words)
     plain = Counter(chunks)

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramsu.llm import contamination, leaks, pieces, quality, questions, sampling, splitting, tokenize
+from tramsu.llm import contamination, leaks, pieces, quality, questions, sampling, splitting, tokenize, variants
 from tramsu.session import read
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.pairs(variants.entities(read(spark, d, "entities"), read(spark, d, "nicknames")))
+
+
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    return variants.entities(read(spark, d, "entities"), read(spark, d, "nicknames"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = sampling.sample(read(spark, d, "exam_dashboard"), read(spark, d, "exam_blueprint"))
     return report.where("unmet").select("blueprint_id", "bloom")
