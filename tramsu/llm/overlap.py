@@ -19,8 +19,8 @@ BLOCK = 3000
 
 
 def token_hashes(words: list[str]) -> np.ndarray:
-    """63-bit hashes of the distinct words, ascending."""
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(w) >> 1 for w in words), dtype=np.int64, count=len(words)))
+    """32-bit hashes of the distinct words, ascending."""
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(w) for w in words), dtype=np.int64, count=len(words)))
 
 
 def _count(batches):
@@ -71,7 +71,7 @@ def _prefixes(held, n: int, share: float):
                 total = float(w.sum())
                 rest = total - np.cumsum(w)  # of what follows
                 upto = int(np.argmax(rest < share * total - 1e-9)) + 1
-                packed = tokens.tobytes()
+                packed = tokens.astype(np.uint32).tobytes()
                 home = xxhash.xxh64_intdigest(rid)
                 for token, count in zip(tokens[:upto].tolist(), counts[:upto].tolist(), strict=True):
                     if count < 2:
@@ -129,7 +129,7 @@ def _search(held, n: int, share: float):
             token, a, b = key
             if len(rows) < 2:
                 return []
-            sets = [np.frombuffer(r[2], dtype=np.int64) for r in rows]
+            sets = [np.frombuffer(r[2], dtype=np.uint32).astype(np.int64) for r in rows]
             flat = np.concatenate(sets)
             who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             by = np.lexsort((who, flat))

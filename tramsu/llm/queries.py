@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramsu.llm import contamination, leaks, pieces, quality, questions, sampling, splitting, tokenize, variants
+from tramsu.llm import answers, contamination, leaks, pieces, quality, questions, sampling, splitting, tokenize, variants
 from tramsu.session import read
 
 
@@ -55,6 +55,10 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_texts(read(spark, d, "corpus"), "context_id", "context")[0].withColumnRenamed("id", "context_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.defects(read(spark, d, "exam_dashboard"), read(spark, d, "documents").select("text", "lang"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.keep_together(read(spark, d, "corpus"), read(spark, d, "qa_pairs"))[1].select("context_id")
 

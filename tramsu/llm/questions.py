@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +21,36 @@ SHARE = 0.55
 def _canon(batches):
     for pdf in batches:
         words = [" ".join(fold_words(x)) for x in pdf["text"]]
-        yield pdf.assign(canon=words)
+        pdf["rid"] = [hashlib.sha256(w.encode()).hexdigest()[:16] if w else None for w in words]
+        yield pdf.drop(columns="text")
 
 
-def texts_of(rows: DataFrame, *extra: str) -> DataFrame:
-    """rows: key (string), text and extra columns; adds canon, the folded words, and drops null
-    keys, null texts and texts without a word."""
+def canon_of(rows: DataFrame, *extra: str) -> DataFrame:
+    """rows: key (string), text and extra columns. Returns key, extra and rid, the hash of the
+    text's folded words; null keys, null texts and texts without a word are dropped, repeated rows made one."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    cols = ["key", "text", *extra]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", canon string"
-    known = rows.select(*cols).where("key is not null and text is not null").distinct()
-    return known.mapInPandas(_canon, schema).where("canon <> ''")
+    cols = ["key", *extra]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", rid string"
+    known = rows.select(*cols, "text").where("key is not null and text is not null")
+    return known.mapInPandas(_canon, schema).where("rid is not null").distinct()
+
+
+def with_text(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds to nodes (rid, key of one record, ...) that record's text; of several texts of a key,
+    the one with the node's folded words."""
+    texts = rows.where("key is not null and text is not null").select("key", "text")
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+
+    def own(batches):
+        for pdf in batches:
+            words = [" ".join(fold_words(x)) for x in pdf["text"]]
+            keep = [hashlib.sha256(w.encode()).hexdigest()[:16] == r for w, r in zip(words, pdf["rid"], strict=True)]
+            yield pdf[keep]
+
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", text string"
+    found = nodes.join(texts, "key").select(*nodes.columns, "text").mapInPandas(own, schema)
+    others = [c for c in nodes.columns if c != "rid"]
+    return found.groupBy("rid").agg(*[F.first(c).alias(c) for c in others], F.min("text").alias("text"))
 
 
 def _verify(same):
@@ -63,14 +84,13 @@ def groups(items: DataFrame, key: str = "item_id", text: str = "question", share
     An item under several texts joins their groups. Null and wordless questions are in no group;
     further columns are ignored; an empty table gives none.
     """
-    rows = cut(texts_of(items.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))))
-    # the text that stands for all of its canon: the least item's
-    nodes = cut(
-        rows.groupBy("canon").agg(F.min(F.struct("key", "text")).alias("m"))
-        .select(F.sha2("canon", 256).substr(1, 24).alias("rid"), F.col("m.text").alias("text"), F.lit(True).alias("left"), F.lit(True).alias("right"))
-    )
+    source = items.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    rows = cut(canon_of(source))
+    # the text that stands for all with the same words: the least item's
+    nodes = rows.groupBy("rid").agg(F.min("key").alias("key"))
+    nodes = cut(with_text(nodes, source).select("rid", "text", F.lit(True).alias("left"), F.lit(True).alias("right")))
     links = cut(same_pairs(nodes, share))
-    own = rows.select("key", F.concat(F.lit("#"), F.sha2("canon", 256).substr(1, 24)).alias("node")).distinct()
+    own = rows.select("key", F.concat(F.lit("#"), "rid").alias("node"))
     edges = links.select(F.concat(F.lit("#"), "x").alias("x"), F.concat(F.lit("#"), "y").alias("y"))
     # items ties too, but only such as stand under several texts
     several = own.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
