@@ -34,7 +34,7 @@ LEVELS = ("nhan_biet", "thong_hieu", "van_dung", "van_dung_cao")
 
 def passage_form(c: Column) -> Column:
     """NFC, straight quotes, single blanks, at most one empty line, trimmed; null stays null."""
-    s = F.translate(nfc(c), " “”‘’", " \"\"''")
+    s = F.translate(nfc(c), "\u00a0“”‘’", " \"\"''")
     s = F.regexp_replace(s, r"[ \t]+", " ")
     s = F.regexp_replace(s, r"\n{3,}", "\n\n")
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
@@ -42,7 +42,7 @@ def passage_form(c: Column) -> Column:
 
 def span_form(c: Column) -> Column:
     """The shorter form used before span extraction: NFC, single blanks, trimmed."""
-    return F.regexp_replace(F.regexp_replace(F.translate(nfc(c), " ", " "), r"[ \t]+", " "), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.translate(nfc(c), "\u00a0", " "), r"[ \t]+", " "), r"(?U)^\s+|\s+$", "")
 
 
 def count_tokens(c: Column) -> Column:

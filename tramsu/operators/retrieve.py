@@ -12,7 +12,7 @@ K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf and dl of lower-cased, blank-separated terms."""
-    words = F.filter(F.split(F.lower(F.translate(text, " ", " ")), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.translate(text, "\u00a0", " ")), r"\s+"), lambda w: w != "")
     rows = docs.select(F.col(key).alias("doc"), words.alias("w")).select("doc", F.size("w").alias("dl"), F.explode("w").alias("term"))
     return rows.groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
 
