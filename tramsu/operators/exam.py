@@ -41,7 +41,10 @@ def greedy(items: DataFrame, k: int, target: dict[str, int], per_context: int =
     if fewer than k are found, regardless of level; never more than per_context of a context."""
 
     def fold(batches):
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["score", "item_id"], ascending=[False, True])
+        frames = list(batches)
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True).sort_values(["score", "item_id"], ascending=[False, True])
         level, context, taken = dict.fromkeys(LEVELS, 0), {}, []
         for strict in (True, False):
             for row in pdf.itertuples():
@@ -131,7 +134,10 @@ def best(items: DataFrame, k: int, target: dict[str, int], per_context: int = 2,
     task over the shortlist, whose size k and the number of titles bound."""
 
     def solve(batches):
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values("item_id", ignore_index=True)
+        frames = list(batches)
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True).sort_values("item_id", ignore_index=True)
         pdf["title"] = pdf.groupby("context_id")["title"].transform("min")
         levels, contexts, titles = sorted(pdf["bloom"].unique()), sorted(pdf["context_id"].unique()), sorted(pdf["title"].fillna("").unique())
         must = [t for t, g in pdf.fillna({"title": ""}).groupby("title") if len(g) > 1]
