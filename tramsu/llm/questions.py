@@ -12,7 +12,7 @@ from tramsu.functions.text import fold_words
 from tramsu.llm.overlap import overlapping
 from tramsu.llm.same import same_question
 from tramsu.operators.graph import connected_components
-from tramsu.session import cut
+from tramsu.session import cut, keep
 
 #: Weight of common words, by inverse document frequency, that candidates must share.
 SHARE = 0.55
@@ -68,7 +68,7 @@ def same_pairs(nodes: DataFrame, share: float = SHARE, same=same_question) -> Da
     text = nodes.select("rid", "text")
     with_a = found.join(text.select(F.col("rid").alias("x"), F.col("text").alias("ta")), "x")
     with_b = with_a.join(text.select(F.col("rid").alias("y"), F.col("text").alias("tb")), "y")
-    return with_b.select("x", "y", "ta", "tb").repartition("x").mapInPandas(_verify(same), "x string, y string")
+    return with_b.select("x", "y", "ta", "tb").mapInPandas(_verify(same), "x string, y string")
 
 
 def groups(items: DataFrame, key: str = "item_id", text: str = "question", share: float = SHARE) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +88,7 @@ def groups(items: DataFrame, key: str = "item_id", text: str = "question", share
     rows = cut(canon_of(source))
     # the text that stands for all with the same words: the least item's
     nodes = rows.groupBy("rid").agg(F.min("key").alias("key"))
-    nodes = cut(with_text(nodes, source).select("rid", "text", F.lit(True).alias("left"), F.lit(True).alias("right")))
+    nodes = keep(with_text(nodes, source).select("rid", "text", F.lit(True).alias("left"), F.lit(True).alias("right")))
     links = cut(same_pairs(nodes, share))
     own = rows.select("key", F.concat(F.lit("#"), "rid").alias("node"))
     edges = links.select(F.concat(F.lit("#"), "x").alias("x"), F.concat(F.lit("#"), "y").alias("y"))
