@@ -65,5 +65,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan with no more than columns and rows picked, over all cores: a small table is one
+    file and would be one task, however much work its rows are. Tables of enough files stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.rdd().getNumPartitions() < n else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
