@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramsu.functions.text import fold_words
-from tramsu.session import cut
+from tramsu.session import cut, spread
 
 DEFECTS = ("empty_answer", "refusal", "copies_question", "other_language", "truncated_answer")
 
@@ -267,7 +267,7 @@ def defects(items: DataFrame, language_texts: DataFrame, most: int = 300) -> Dat
     delivered again count once, several answers of one item the first defect by name; null item_id
     is left out; an empty table gives none.
     """
-    rows = items.where("item_id is not null").select("item_id", "question", F.col("answer_text").alias("answer"), "options")
+    rows = spread(items.where("item_id is not null").select("item_id", "question", F.col("answer_text").alias("answer"), "options"))
     said = rows.select("item_id", F.explode_outer("options.text").alias("text")).union(rows.select("item_id", "answer"))
     texts = said.where("text is not null").distinct()
     counts = texts.mapInPandas(_contexts, "context string, ends long, goes long, more long").groupBy("context").agg(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramsu.functions.text import fold_words
+from tramsu.session import spread
 
 #: Cells of the table of token counts. It is all that is broadcast: 4 bytes a cell, whatever the data's size.
 CELLS = 1 << 20
@@ -185,6 +186,7 @@ def overlapping(records: DataFrame, share: float) -> DataFrame:
     finds those that reach the overlap. A word of many records makes several groups of bounded
     size (blocks against blocks), so no task gets a hot word whole. Every pair comes out once.
     """
+    records = spread(records)
     n = records.count()
     counts = token_counts(records)
     held = records.sparkSession.sparkContext.broadcast(counts)

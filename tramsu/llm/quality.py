@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramsu.functions.text import fold_words
+from tramsu.session import cut, spread
 
 KINDS = ("prose", "list", "table", "junk")
 #: Documents that the trees are fitted on: the first of the table by a hash of the text. The
@@ -216,7 +217,8 @@ def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
     from tramsu.llm.holdout import CHECKED
 
     sample = docs.where("text is not null and text <> '' and doc_id is not null").orderBy(F.xxhash64("text"), "doc_id").limit(most)
-    got = document_statistics(sample).toPandas()  # at most `most` rows
+    # the sample alone is one task: it is spread again for the statistics
+    got = document_statistics(spread(cut(sample.select("doc_id", "text")))).toPandas()  # at most `most` rows
     x = got[list(STATISTICS)].to_numpy(dtype=float).reshape(-1, len(STATISTICS))
     label = [weak_label(dict(zip(STATISTICS, row, strict=True))) for row in x]
     held = np.array([statistics(t) for _, t in CHECKED], dtype=float), [k for k, _ in CHECKED]
@@ -231,7 +233,7 @@ def kinds(docs: DataFrame, model: Model | None = None) -> DataFrame:
     visible text; kind is the likeliest one. Documents delivered again with one id count once."""
     from tramsu.llm.tokenize import once
 
-    rows = once(docs.select("doc_id", "text"), "doc_id")
+    rows = once(spread(docs.select("doc_id", "text")), "doc_id")
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     names = [f"p_{k}" for k in KINDS]
 

@@ -12,7 +12,7 @@ from tramsu.functions.text import fold_words
 from tramsu.llm.overlap import overlapping
 from tramsu.llm.same import same_question
 from tramsu.operators.graph import connected_components
-from tramsu.session import cut, keep
+from tramsu.session import cut, keep, spread
 
 #: Weight of common words, by inverse document frequency, that candidates must share.
 SHARE = 0.55
@@ -85,7 +85,7 @@ def groups(items: DataFrame, key: str = "item_id", text: str = "question", share
     further columns are ignored; an empty table gives none.
     """
     source = items.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    rows = cut(canon_of(source))
+    rows = cut(canon_of(spread(source)))
     # the text that stands for all with the same words: the least item's
     nodes = rows.groupBy("rid").agg(F.min("key").alias("key"))
     nodes = keep(with_text(nodes, source).select("rid", "text", F.lit(True).alias("left"), F.lit(True).alias("right")))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramsu.session import spread
+
 #: Fixed value of the vocabulary: the pattern that splits a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -238,7 +240,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", t
     text is read once where it lies: no shuffle, except that rows delivered again (same key and
     text) are made one. Further columns are ignored; an empty table gives none.
     """
-    rows = once(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    rows = once(spread(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))), "doc_id")
     return rows.mapInArrow(_encoder(vocabulary), "doc_id long, ids array<int>")
 
 
