@@ -130,9 +130,14 @@ def _search(held, n: int, share: float):
             token, a, b = key
             if len(rows) < 2:
                 return []
+            left, right = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+            if not (left.any() and right.any()):
+                return []
+            mirrored = bool(left.all() and right.all())
             sets = [np.frombuffer(r[2], dtype=np.uint32).astype(np.int64) for r in rows]
-            flat = np.concatenate(sets)
-            who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            known = np.flatnonzero(left)  # lists hold one side, the other side's records are the queries
+            flat = np.concatenate([sets[i] for i in known])
+            who = np.repeat(known, [len(sets[i]) for i in known])
             by = np.lexsort((who, flat))
             flat, who = flat[by], who[by]
             tokens, first = np.unique(flat, return_index=True)
@@ -140,18 +145,20 @@ def _search(held, n: int, share: float):
             w = weight_of(tokens)
             totals = np.array([weight_of(s).sum() for s in sets])
             own = np.array([r[0] for r in rows])
-            left, right = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
             out = []
-            for q in range(1, len(rows)):
+            for q in np.flatnonzero(right).tolist():
                 ids = np.searchsorted(tokens, sets[q])
+                held_ = ids < len(tokens)
+                ids = ids[held_][tokens[ids[held_]] == sets[q][held_]]
                 lists = [who[bounds[i] : bounds[i + 1]] for i in ids]
-                lists = [x[: np.searchsorted(x, q)] for x in lists]  # records before this one
+                if mirrored:
+                    lists = [x[: np.searchsorted(x, q)] for x in lists]  # records before this one
                 some = [k for k, x in enumerate(lists) if len(x)]
                 for r in divide_skip([lists[k] for k in some], w[ids[some]], share * totals[q]).tolist():
-                    if a != b and own[q] == own[r]:
+                    if r == q or a != b and own[q] == own[r]:
                         continue  # another group has both
-                    if not (left[q] and right[r] or left[r] and right[q]):
-                        continue
+                    if left[q] and right[r] and r > q:
+                        continue  # found from the other side
                     common = sets[q][np.isin(sets[q], sets[r], assume_unique=True)]
                     if common[0] != token:
                         continue  # found by a rarer token
