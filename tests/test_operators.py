@@ -239,3 +239,22 @@ def test_eda_edges(spark):
     df = spark.createDataFrame([(1,), (1,), (5,)], "x int")
     assert [(r["bin"], r["n"]) for r in eda.histogram(df, "x", 4).orderBy("bin").collect()] == [(0, 2), (3, 1)]
     assert eda.histogram(spark.createDataFrame([], "x int"), "x").count() == 0
+
+
+def test_models(spark):
+    from tramsu.operators import models
+
+    df = spark.createDataFrame([("c", "Vua Lê Lợi về. Lê Lợi ở Huế."), ("d", None)], "context_id string, context string")
+    tagger = lambda s: [(x, k) for x, k in (("Vua Lê Lợi", "PERSON"), ("Lê Lợi", "PER"), ("Huế", "LOCATION"), ("Bà", "PER")) if x in s]
+    got = models.extract_named(df, tagger).collect()
+    text = df.first()["context"]
+    assert {(r["surface"], r["type"]) for r in got} == {("Lê Lợi", "PER"), ("Huế", "LOC")} and all(text[r["char_start"] : r["char_end"]] == r["surface"] for r in got)
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "k string, v int")
+    out = models.score_once(rows, ["k"], lambda k: k.withColumn("s", F.length(F.coalesce("k", F.lit("")))))
+    assert sorted((r["v"], r["s"]) for r in out.collect()) == [(1, 1), (2, 1), (3, 0)]
+    p = rows.select(models.prompt(F.col("k"), F.lit(None).cast("string"), F.lit("w"), F.lit("l"), {"w": "Ask who."}).alias("p")).first()["p"]
+    assert "Ask who." in p
+    train = spark.createDataFrame([("vì sao vua về", "b"), ("vì sao dân đi", "b"), ("ở đâu có chợ", "a"), ("ở đâu có đền", "a")] * 3, "t string, y0 string")
+    m = models.train_level_classifier(train, "t", "y0", 500)
+    rep = models.class_report(models.predict_level(m, train, "t"), "y0", "predicted").collect()
+    assert all(r["f1"] == 1.0 for r in rep)

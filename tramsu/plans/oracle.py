@@ -171,6 +171,10 @@ def sql() -> dict[str, str]:
         "exam_random": f"with {_B}, {_USABLE} select item_id, bloom, score from u order by md5('42|' || item_id), item_id limit 40",
         "bank_kpis": f"""with {_B} select count(*) as total, round(100 * avg((status = 'accepted')::int), 2) as accepted_pct, count(distinct method) as methods,
  round(avg(verifier_score) filter (not isnan(verifier_score)), 4) as mean_score from b""",
+        "level_report": f"""with {_B}, p as (select bloom, {_level('question')} as said from b where bloom in ('nhan_biet','thong_hieu','van_dung','van_dung_cao')),
+ t as (select bloom as class, count(*) as n, count(*) filter (bloom = said) as hit from p group by 1), s as (select said as class, count(*) as said from p group by 1)
+ select class, n, round(coalesce(hit::double / nullif(said, 0), 0.0), 6) as precision, round(hit::double / n, 6) as recall,
+ round(coalesce(2 * coalesce(hit::double / nullif(said, 0), 0.0) * (hit::double / n) / nullif(coalesce(hit::double / nullif(said, 0), 0.0) + hit::double / n, 0), 0.0), 6) as f1 from t left join s using (class)""",
         "filtered_bank": f"""with {_B} select item_id, method, bloom, verifier_score from b where method in ('vit5','rag_llm') and status = 'accepted' and bloom in ('nhan_biet','thong_hieu')
  and verifier_score >= 0.8 and not isnan(verifier_score)""",
     }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tramsu.functions import normalize as N
 from tramsu.functions.splits import split_name
 from tramsu.operators import corpus as C
-from tramsu.operators import decide, eda, exam, items, retrieve, spans, verify
+from tramsu.operators import decide, eda, exam, items, models, retrieve, spans, verify
 from tramsu.session import cut, read
 
 FLAGSHIP = "bank_scorecard"
@@ -267,12 +267,26 @@ def filtered_bank(spark, d):
     return b.where(F.col("method").isin("vit5", "rag_llm") & (F.col("status") == "accepted") & F.col("bloom").isin("nhan_biet", "thong_hieu") & (F.col("verifier_score") >= 0.8) & ~F.isnan("verifier_score")).select("item_id", "method", "bloom", "verifier_score")
 
 
+def level_report(spark, d):
+    """How the keyword level stands to the bank's level, by class."""
+    b = _bank(spark, d).where(F.col("bloom").isin(*N.LEVELS)).select("bloom", N.keyword_level(F.col("question")).alias("said"))
+    return models.class_report(b, "bloom", "said")
+
+
+def level_classifier(spark, d):
+    """A classifier of keyword levels, trained on the stems of the questions of three methods' two
+    and judged on the third's; accuracy by class."""
+    rows = cut(_bank(spark, d).where("question is not null").select("method", "question", N.keyword_level(F.col("question")).alias("level")))
+    model = models.train_level_classifier(rows.where("method <> 'rag_llm'"), "question", "level")
+    return models.class_report(models.predict_level(model, rows.where("method = 'rag_llm'"), "question"), "level", "predicted")
+
+
 def queries() -> dict:
     names = """bank_scorecard corpus_dedup_first text_stats passage_ids title_inventory leak_check split_report balanced_split qa_span_check wh_types keyword_levels
     evidence_sentence training_pairs value_counts token_quantiles token_histogram question_rates temporal_extract entity_clean distractor_pool distractor_ladder
     generated_items item_violations bm25_topk dense_topk rrf_fusion near_questions question_clarity known_answers distractor_types position_balance level_fidelity
     verify_verdict method_summary level_agreement ahp_weights topsis_sensitivity sensitivity_crossover method_strengths bloom_targets exam_random exam_greedy
-    exam_optimal exam_statistics strategy_comparison bank_kpis filtered_bank"""
+    exam_optimal exam_statistics strategy_comparison bank_kpis filtered_bank level_report level_classifier"""
     return {n: globals()[n] for n in names.split()}
 
 
