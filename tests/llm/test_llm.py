@@ -122,6 +122,38 @@ def test_overlaps_equal_brute_force(spark):
     assert sum(r["records"] for r in rep.collect()) == 30
 
 
+def test_near_copies_in_a_family_of_a_third_of_the_passages(spark):
+    rng = random.Random(8)
+    base, short, rows = _passage(rng, 40), _passage(rng, 9), []
+    for i in range(60):
+        w = [f"mới{i}x{k}" if k % 4 == 0 else x for k, x in enumerate(base)]  # every fourth word: no run of five is left
+        rows.append((f"f{i:03d}", " ".join(w), "train" if i % 3 else "test"))
+    for i in range(6):
+        rows.append((f"s{i}", " ".join([*short[:4], f"ngắn{i}", *short[5:]]), "train" if i % 2 else "dev"))
+    rows += [(f"o{i:03d}", " ".join(_passage(rng, 40)), "train" if i % 3 else "dev") for i in range(120)]
+    df = spark.createDataFrame(rows, "context_id string, context string, split string")
+    got = {(r["a"], r["b"]) for r in leaks.overlaps(df, "context_id", "context", "passage").collect()}
+    want = {(t[0], h[0]) for t in rows for h in rows if t[2] == "train" != h[2] and same.compare(t[1], h[1], leaks.LEAST)[0] >= leaks.LEAST}
+    assert len(want) == 40 * 20 + 9 and got == want
+
+
+@pytest.mark.parametrize("chars", [16_000_000, 3000])
+def test_sharing_misses_no_pair(spark, monkeypatch, chars):
+    monkeypatch.setattr(overlap, "BLOCK_CHARS", chars)
+    rng = random.Random(9)
+    words, rows = _passage(rng, 60), []
+    for i in range(40):
+        w = rng.choices(words, k=rng.randrange(1, 40))
+        for k in range(3):
+            rows.append((f"r{i:02d}{k}", " ".join(w), rng.random() < 0.7, rng.random() < 0.6))
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = rng.choice([*words, w[0][:-1] + "z"])
+    df = spark.createDataFrame(rows, "rid string, text string, left boolean, right boolean")
+    got = [frozenset((r["x"], r["y"])) for r in overlap.sharing(df, 0.66).collect()]
+    want = {frozenset((a[0], b[0])) for a in rows for b in rows if a[0] < b[0] and (a[2] and b[3] or a[3] and b[2]) and same.compare(a[1], b[1], 0.66)[0] >= 0.66}
+    assert len(got) == len(set(got)) and want and want <= set(got)
+
+
 # --- p4
 
 

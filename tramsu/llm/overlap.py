@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramsu.functions.text import fold_words
+from tramsu.llm.same import least_same
 from tramsu.session import spread
 
 #: Cells of the table of token counts. It is all that is broadcast: 4 bytes a cell, whatever the data's size.
 CELLS = 1 << 20
 #: Records that one group may compare with each other; a token with more is split into blocks of these.
 BLOCK = 3000
+#: Characters of the texts in one block of the exact search; a task holds two blocks.
+BLOCK_CHARS = 16_000_000
 
 
 def token_hashes(words: list[str]) -> np.ndarray:
@@ -202,3 +205,147 @@ def overlapping(records: DataFrame, share: float) -> DataFrame:
     )
     near = rows.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b")
     return near.mapInPandas(_search(held, n, share), "x string, y string")
+
+
+def element_hashes(words: list[str]) -> bytes:
+    """32-bit hashes of all words, repeated ones told apart by how often they came before."""
+    seen: dict[str, int] = {}
+    out = np.empty(len(words), dtype=np.uint32)
+    for i, w in enumerate(words):
+        k = seen[w] = seen.get(w, 0) + 1
+        out[i] = xxhash.xxh32_intdigest(w if k == 1 else f"{w} {k}")
+    return out.tobytes()
+
+
+def _elements(batches):
+    for pdf in batches:
+        yield pdf[["rid", "left", "right"]].assign(words=[element_hashes(fold_words(t)) for t in pdf["text"]])
+
+
+class _Cell:
+    """Two blocks of records, or one with itself: rows are (own, rid, left, right, words)."""
+
+    def __init__(self, rows: list[tuple], least: float):
+        self.own = np.array([r[0] for r in rows])
+        self.rid = np.array([r[1] for r in rows], dtype=object)
+        self.left, self.right = (np.array([r[i] for r in rows], dtype=bool) for i in (2, 3))
+        self.size = np.array([len(r[4]) // 4 for r in rows], dtype=np.int64)
+        flat = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint32)
+        kinds, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.empty(len(kinds), dtype=np.int64)
+        rank[np.argsort(n, kind="stable")] = np.arange(len(kinds))  # rare words first
+        self.start = np.cumsum(self.size) - self.size
+        who = np.repeat(np.arange(len(rows)), self.size)
+        self.words = (np.sort(who * len(kinds) + rank[at]) % max(1, len(kinds))).astype(np.int32)
+        self.kinds = len(kinds)
+        self.needs = np.array([least_same(m, least) for m in range(int(self.size.max(initial=0)) + 1)], dtype=np.int64)
+        need = self.needs[self.size]
+        self.some = np.maximum(1, need * 3 // 5)
+        self.front = self.size - need + self.some  # among so many of their rarest words, such pairs have some in common
+        self.in_front = np.arange(len(flat)) - self.start[who] < self.front[who]
+        self.who = who
+
+    def pairs(self, index: np.ndarray, queries: np.ndarray):
+        """(record, records of index) that have enough words in common."""
+        place = np.full(len(self.size), -1, dtype=np.int64)
+        place[index] = np.arange(len(index))
+        held = np.flatnonzero(self.in_front & (place[self.who] >= 0))
+        held = held[np.argsort(self.words[held], kind="stable")]
+        bounds = np.searchsorted(self.words[held], np.arange(self.kinds + 1)).tolist()
+        lists = place[self.who[held]]
+        some, mark = self.some[index], np.zeros(self.kinds, dtype=bool)
+        for q in queries.tolist():
+            own = self.words[self.start[q] : self.start[q] + self.size[q]]
+            short = [lists[bounds[w] : bounds[w + 1]] for w in own[: self.front[q]].tolist() if bounds[w] < bounds[w + 1]]
+            if not short:
+                continue
+            got = np.bincount(np.concatenate(short), minlength=len(index))
+            r = index[np.flatnonzero(got >= np.minimum(some, self.some[q]))]
+            need = self.needs[np.maximum(self.size[r], self.size[q])]
+            fit = (np.minimum(self.size[r], self.size[q]) >= need) & (r != q)
+            r, need = r[fit], need[fit]
+            if not len(r):
+                continue
+            mark[own] = True  # of those that may reach it, all words are looked up
+            size = self.size[r]
+            first = np.cumsum(size) - size
+            common = np.add.reduceat(mark[self.words[np.repeat(self.start[r] - first, size) + np.arange(int(size.sum()))]].astype(np.int64), first)
+            mark[own] = False
+            r = r[common >= need]
+            if len(r):
+                yield q, r
+
+    def found(self, a: int, b: int):
+        both = self.left & self.right
+        for i, j in [(a, b)] if a == b else [(a, b), (b, a)]:
+            index, queries = np.flatnonzero(self.left & (self.own == i)), np.flatnonzero(self.right & (self.own == j))
+            if i > j and both[index].all() and both[queries].all():
+                continue  # all found from the other side
+            for q, r in self.pairs(index, queries):
+                if both[q]:
+                    r = r[~both[r] | (r < q)] if i == j else r[~both[r]] if i > j else r
+                yield self.rid[r], np.full(len(r), self.rid[q], dtype=object)
+
+
+def _in_cells(least: float):
+    def search(key, rows):
+        xs, ys, n = [], [], 0
+        for x, y in _Cell(rows, least).found(*key):
+            xs.append(x)
+            ys.append(y)
+            n += len(x)
+            if n > 50_000:
+                yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+                xs, ys, n = [], [], 0
+        if n:
+            yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+
+    def run(batches):
+        key, rows = None, []
+        for pdf in batches:
+            for a, b, *row in zip(*[pdf[c].tolist() for c in ("a", "b", "own", "rid", "left", "right", "words")], strict=True):
+                if (a, b) != key:
+                    if rows:
+                        yield from search(key, rows)
+                    key, rows = (a, b), []
+                rows.append(row)
+        if rows:
+            yield from search(key, rows)
+
+    return run
+
+
+def _slots(spark, n: int) -> list[int]:
+    """n numbers that Spark's hash puts into n different partitions."""
+    part = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    got = spark.range(40 * n, numPartitions=1).groupBy(part.alias("part")).agg(F.min("id").alias("id")).collect()
+    spare = iter(range(40 * n, 41 * n))  # a partition that none of them meets
+    return [r["id"] for r in got] + [next(spare) for _ in range(n - len(got))]
+
+
+def sharing(records: DataFrame, least: float) -> DataFrame:
+    """records: rid (string, unique), text, left, right (booleans). Returns x, y: each unordered pair
+    of records, one left and the other right, that has the common words without which same.compare
+    cannot give least (see least_same); repeated words count as often as both have them. The bound
+    depends on the two texts alone, not on the table: a word that was changed costs one word,
+    however rare, and a common word counts one, however frequent.
+
+    Records are dealt into blocks of about BLOCK_CHARS, and each pair of blocks is searched in one task, so no
+    word, however frequent, makes a larger one. There words are ordered, rare ones first: a pair has
+    some words in common among the rarest of both. Their short lists are merged; only records that
+    reach the count there are looked up in the long rest (T-occurrence as by DivideSkip).
+    Every pair comes out once.
+    """
+    n, chars = records.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    k = max(-(-chars // BLOCK_CHARS), min(4, 1 + n // 2000))
+    cells = k * (k + 1) // 2
+    rows = spread(records.select("rid", "text", "left", "right")).mapInPandas(_elements, "rid string, left boolean, right boolean, words binary")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.lit(k)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rows = rows.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rid", "left", "right", "words")
+    cell = (F.col("b") * (F.col("b") + 1) / 2 + F.col("a")).cast("int")
+    if cells <= 200:  # one task each
+        slots = F.array(*[F.lit(int(i)) for i in _slots(records.sparkSession, cells)])
+        dealt = rows.repartition(cells, F.get(slots, cell))
+    else:
+        dealt = rows.repartition(cells, cell)
+    return dealt.sortWithinPartitions("a", "b").mapInPandas(_in_cells(least), "x string, y string")

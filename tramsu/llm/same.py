@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -114,6 +115,12 @@ def compare(a: str, b: str, least: float = 0.0) -> tuple[float, int, int, int, f
     return same / max(len(wa), len(wb)), named(left_a, knows_a), named(left_b, knows_b), numbers, core
 
 
+def least_same(longest: int, least: float) -> int:
+    """How many of the very same words two texts, the longer one of so many words, have at least if compare
+    gives them a share of least: of the common words at most max(2, a sixth) are slips. Never falls as longest grows."""
+    return math.ceil(max(least * 2 / 3 * longest, least * longest - max(2, longest / 6)) - 1e-9)
+
+
 def same_question(a: str, b: str, least: float = 0.66, least_core: float = 0.68) -> bool:
     """The same question apart from small edits: enough common words, outside names too, and not each with a person,
     place, number or year of its own. Where the case of one text tells no names, the other's
