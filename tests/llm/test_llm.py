@@ -279,6 +279,17 @@ def test_question_groups(spark):
     assert {(r["a"], r["b"]) for r in questions.pairs(members).collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("e", "f")}
 
 
+def test_questions_of_a_hot_family_with_rare_words_changed(spark):
+    rng = random.Random(5)
+    base = "vì sao người dân ở vùng này phải nộp thêm thuế muối cho quan khi mùa nước lên vậy".split()
+    rows = [(f"f{i:03d}", " ".join(f"lạ{i}q{k}" if k in (1, 5, 9, 13, 17) else w for k, w in enumerate(base))) for i in range(40)]
+    rows += [(f"o{i:03d}", " ".join(_passage(rng, 19))) for i in range(80)]
+    df = spark.createDataFrame(rows, "rid string, text string").selectExpr("*", "true as left", "true as right")
+    got = {frozenset((r["x"], r["y"])) for r in questions.same_pairs(df).collect()}
+    want = {frozenset((a[0], b[0])) for a in rows[:40] for b in rows[:40] if a[0] < b[0] and same.same_question(a[1], b[1])}
+    assert len(want) == 40 * 39 // 2 and got == want
+
+
 # --- p8
 
 

@@ -9,14 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramsu.functions.text import fold_words
-from tramsu.llm.overlap import overlapping
-from tramsu.llm.same import same_question
+from tramsu.llm.overlap import sharing
+from tramsu.llm.same import LEAST_SAME, same_question
 from tramsu.operators.graph import connected_components
 from tramsu.session import cut, keep, spread
 
-#: Weight of common words, by inverse document frequency, that candidates must share.
-SHARE = 0.55
-
 
 def _canon(batches):
     for pdf in batches:
@@ -62,22 +59,23 @@ def _verify(same):
     return run
 
 
-def same_pairs(nodes: DataFrame, share: float = SHARE, same=same_question) -> DataFrame:
-    """nodes: rid, text, left, right. Pairs x, y that overlap enough and pass same(text, text)."""
-    found = overlapping(nodes, share)
+def same_pairs(nodes: DataFrame, least: float = LEAST_SAME, same=same_question) -> DataFrame:
+    """nodes: rid, text, left, right. Pairs x, y that pass same(text, text), which must ask of
+    compare a share of least at the least: all pairs that can reach it are compared."""
+    found = sharing(nodes, least)
     text = nodes.select("rid", "text")
     with_a = found.join(text.select(F.col("rid").alias("x"), F.col("text").alias("ta")), "x")
     with_b = with_a.join(text.select(F.col("rid").alias("y"), F.col("text").alias("tb")), "y")
     return with_b.select("x", "y", "ta", "tb").mapInPandas(_verify(same), "x string, y string")
 
 
-def groups(items: DataFrame, key: str = "item_id", text: str = "question", share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+def groups(items: DataFrame, key: str = "item_id", text: str = "question") -> tuple[DataFrame, DataFrame]:
     """Returns (members, links): key, group of every item (the group's name is its least item's
     key), and the links x, y between representatives of different texts that the groups come from.
 
     Questions with the same words in the same order (case, accents, punctuation and blanks aside)
     have one representative, the least key, which keeps a hot group of copies from meeting itself.
-    Representatives whose words overlap enough (see overlapping) are compared word by word (see
+    Representatives with the common words that same_question asks for (see sharing) are compared word by word (see
     same_question): typos, some words more, less or other, clauses in another order are small
     edits; another name, number or year is not. Groups are the components of these links.
 
@@ -89,7 +87,7 @@ def groups(items: DataFrame, key: str = "item_id", text: str = "question", share
     # the text that stands for all with the same words: the least item's
     nodes = rows.groupBy("rid").agg(F.min("key").alias("key"))
     nodes = keep(with_text(nodes, source).select("rid", "text", F.lit(True).alias("left"), F.lit(True).alias("right")))
-    links = cut(same_pairs(nodes, share))
+    links = cut(same_pairs(nodes))
     own = rows.select("key", F.concat(F.lit("#"), "rid").alias("node"))
     edges = links.select(F.concat(F.lit("#"), "x").alias("x"), F.concat(F.lit("#"), "y").alias("y"))
     # items ties too, but only such as stand under several texts

@@ -121,7 +121,11 @@ def least_same(longest: int, least: float) -> int:
     return math.ceil(max(least * 2 / 3 * longest, least * longest - max(2, longest / 6)) - 1e-9)
 
 
-def same_question(a: str, b: str, least: float = 0.66, least_core: float = 0.68) -> bool:
+#: The least share of common words of one question in two wordings.
+LEAST_SAME = 0.66
+
+
+def same_question(a: str, b: str, least: float = LEAST_SAME, least_core: float = 0.68) -> bool:
     """The same question apart from small edits: enough common words, outside names too, and not each with a person,
     place, number or year of its own. Where the case of one text tells no names, the other's
     does: words of its names that are missing must be balanced by none."""
