@@ -40,7 +40,8 @@ def _count(batches):
 
 def token_counts(records: DataFrame) -> np.ndarray:
     """How many records hold a token, by its cell; over all records. Tokens that share a cell add
-    up, which makes them look less rare: it costs time, no result."""
+    up, which makes them look less rare: the weights of overlapping are approximate once the different
+    words come near CELLS. The queries use sharing, which counts exactly and weighs nothing."""
     cells = records.select("text").mapInPandas(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(CELLS, dtype=np.int32)
     got = cells.toPandas()  # at most CELLS rows
