@@ -323,6 +323,16 @@ def test_encode_edges(spark):
 # --- p9
 
 
+def test_short_parts_are_found():
+    words = "vua ban chiếu dời đô về thành mới năm ấy rồi mất".split()
+    for n in range(2, 13):
+        got = contamination.Scanner([("i", " ".join(words[:n]))]).scan("trước đó " + " ".join(words[:n]) + " sau đó")
+        assert got == [("i", 9, 9 + len(" ".join(words[:n])))], n
+    for n in range(9, 13):
+        text = " ".join([*words[:5], "khác", *words[6:n]])
+        assert contamination.Scanner([("i", " ".join(words[:n]))]).scan("trước đó " + text + " sau đó"), n
+
+
 def test_leaks_and_offsets(spark):
     rng = random.Random(9)
     stem = " ".join(_passage(rng, 50))

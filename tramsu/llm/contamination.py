@@ -21,7 +21,8 @@ SEED = 4
 #: phrases of the domain, and a leak of RUN words also holds rarer ones.
 PARTS = 6
 #: Patterns along one diagonal from which item and text are aligned. RUN words hold RUN - SEED + 1
-#: patterns, of which a changed word costs SEED; fewer are a quoted phrase or a common turn.
+#: patterns, of which a changed word costs SEED; fewer are a quoted phrase or a common turn. A part
+#: of few patterns needs those that one changed word leaves, one at least.
 LEAST_SEEDS = 6
 #: Items may hold at most so many words in all: the automaton is broadcast.
 MOST_WORDS = 2_000_000
@@ -93,12 +94,13 @@ class Scanner:
     def _best(self, target: list[str], words: list[str], seeds: list[tuple[int, int]]) -> tuple[int, int] | None:
         """Word span of a leak of target, compared where its seeds lie along one diagonal."""
         need = min(self.run, len(target))
+        least = max(1, min(LEAST_SEEDS, len(target) - 2 * SEED + 1))
         seeds.sort()
         done = -1
         for d, k in seeds:
             if d < done:
                 continue
-            if len(seeds) < LEAST_SEEDS or sum(abs((x - y) - (d - k)) <= need for x, y in seeds) < LEAST_SEEDS:
+            if len(seeds) < least or sum(abs((x - y) - (d - k)) <= need for x, y in seeds) < least:
                 continue
             a, b = max(0, d - k - need), min(len(words), d - k + len(target) + need)
             done = b
