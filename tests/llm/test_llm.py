@@ -137,21 +137,48 @@ def test_near_copies_in_a_family_of_a_third_of_the_passages(spark):
     assert len(want) == 40 * 20 + 9 and got == want
 
 
-@pytest.mark.parametrize("chars", [16_000_000, 3000])
-def test_sharing_misses_no_pair(spark, monkeypatch, chars):
-    monkeypatch.setattr(overlap, "BLOCK_CHARS", chars)
+@pytest.mark.parametrize("hot, block, small", [(1000, 4000, 1000), (2, 4000, 1000), (2, 9, 4), (1000, 7, 3)])
+@pytest.mark.parametrize("both", [True, False])
+def test_sharing_equals_brute_force(spark, monkeypatch, hot, block, small, both):
+    monkeypatch.setattr(overlap, "HOT", hot)
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "SMALL", small)
     rng = random.Random(9)
-    words, rows = _passage(rng, 60), []
+    plain, names, rows = _passage(rng, 40), [f"Tên{i}q" for i in range(12)], []
     for i in range(40):
-        w = rng.choices(words, k=rng.randrange(1, 40))
+        w = ["khi", *rng.choices([*plain, *names], k=rng.randrange(1, 25))]
         for k in range(3):
-            rows.append((f"r{i:02d}{k}", " ".join(w), rng.random() < 0.7, rng.random() < 0.6))
+            rows.append((3 * i + k - 60, " ".join(w), both or rng.random() < 0.7, both or rng.random() < 0.6))
             for _ in range(rng.randrange(5)):
-                w[rng.randrange(len(w))] = rng.choice([*words, w[0][:-1] + "z"])
-    df = spark.createDataFrame(rows, "rid string, text string, left boolean, right boolean")
-    got = [frozenset((r["x"], r["y"])) for r in overlap.sharing(df, 0.66).collect()]
-    want = {frozenset((a[0], b[0])) for a in rows for b in rows if a[0] < b[0] and (a[2] and b[3] or a[3] and b[2]) and same.compare(a[1], b[1], 0.66)[0] >= 0.66}
-    assert len(got) == len(set(got)) and want and want <= set(got)
+                w[rng.randrange(1, len(w))] = rng.choice([*plain, *names, "lạ" + str(i)])
+    df = spark.createDataFrame(rows, "rid long, text string, left boolean, right boolean")
+    got = [(r["x"], r["y"]) for r in overlap.sharing(df, 0.66).collect()]
+
+    def weight(words):
+        return sum(4 if w.startswith("ten") else 1 for w in words)
+
+    sets = {r[0]: set(fold_words(r[1])) for r in rows}
+    want = {
+        (a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[2] and b[3] or a[3] and b[2])
+        and weight(sets[a[0]] & sets[b[0]]) >= 0.66 * max(weight(sets[a[0]]), weight(sets[b[0]])) - 1e-9
+    }
+    assert len(got) == len(set(got)) and len(want) > 20 and want <= set(got)
+    if small > 100:
+        assert want == set(got)
+
+
+def test_sharing_of_long_texts_by_sample(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        w = _passage(rng, rng.randrange(30, 400))
+        for k in range(2):
+            rows.append((2 * i + k, " ".join(w), k == 0, k == 1))
+            for _ in range(len(w) // 5):
+                w[rng.randrange(len(w))] = f"mới{i}"
+    df = spark.createDataFrame(rows, "rid long, text string, left boolean, right boolean")
+    got = {(r["x"], r["y"]) for r in overlap.sharing(df, leaks.SHARE, sample=True).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(60)}
 
 
 # --- p4
@@ -244,32 +271,6 @@ def test_divide_skip_equals_counting():
         assert overlap.divide_skip(lists, w, need).tolist() == want
 
 
-@pytest.mark.parametrize("block", [3000, 7])
-def test_overlapping_equals_brute_force(spark, monkeypatch, block):
-    import numpy as np
-
-    monkeypatch.setattr(overlap, "BLOCK", block)
-    rng = random.Random(6)
-    rows = []
-    for i in range(50):
-        w = _passage(rng, 12)
-        rows.append((f"r{i:03d}", " ".join(w)))
-        if i % 3 == 0:
-            w[rng.randrange(12)] = "khác"
-            rows.append((f"s{i:03d}", " ".join(w)))
-    df = spark.createDataFrame([(*r, True, True) for r in rows], "rid string, text string, left boolean, right boolean")
-    order = overlap.Order(overlap.token_counts(df), len(rows))
-    got = {tuple(sorted((r["x"], r["y"]))) for r in overlap.overlapping(df, 0.55).collect()}
-    sets = {k: dict(zip(*[x.tolist() for x in (lambda t: (t[0], t[2]))(order.of(t))], strict=True)) for k, t in rows}
-    want = set()
-    for i, (a, _) in enumerate(rows):
-        for b, _ in rows[i + 1 :]:
-            common = sum(sets[a][t] for t in sets[a] if t in sets[b])
-            if common >= 0.55 * max(sum(sets[a].values()), sum(sets[b].values())) - 1e-9:
-                want.add((a, b) if a < b else (b, a))
-    assert got == want and np.isfinite(len(want))
-
-
 def test_question_groups(spark):
     base = "Sau khi mất nguồn ngọc trai, Xưởng Đóng Thuyền Drixfas Stannaex bắt đầu dựng kho hạt tiêu tại Drashord Zeirles vào năm bao nhiêu?"
     other = "Dưới áp lực của nông dân, Vóc Dình Điêng Xuyển gặp Quuềnh Gênh Sẫm Xiếp vào thời gian nào?"
@@ -284,8 +285,8 @@ def test_questions_of_a_hot_family_with_rare_words_changed(spark):
     base = "vì sao người dân ở vùng này phải nộp thêm thuế muối cho quan khi mùa nước lên vậy".split()
     rows = [(f"f{i:03d}", " ".join(f"lạ{i}q{k}" if k in (1, 5, 9, 13, 17) else w for k, w in enumerate(base))) for i in range(40)]
     rows += [(f"o{i:03d}", " ".join(_passage(rng, 19))) for i in range(80)]
-    df = spark.createDataFrame(rows, "rid string, text string").selectExpr("*", "true as left", "true as right")
-    got = {frozenset((r["x"], r["y"])) for r in questions.same_pairs(df).collect()}
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "rid long, text string").selectExpr("*", "true as left", "true as right")
+    got = {frozenset((rows[r["x"]][0], rows[r["y"]][0])) for r in questions.same_pairs(df).collect()}
     want = {frozenset((a[0], b[0])) for a in rows[:40] for b in rows[:40] if a[0] < b[0] and same.same_question(a[1], b[1])}
     assert len(want) == 40 * 39 // 2 and got == want
 

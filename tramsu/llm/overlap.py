@@ -1,8 +1,11 @@
-"""T-occurrence search: records whose token sets overlap enough, by DivideSkip within groups that share a rare token."""
+"""T-occurrence search: records whose words overlap enough, by DivideSkip within groups that share rare words."""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,84 +13,171 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramsu.functions.text import fold_words
-from tramsu.llm.same import least_same
+from tramsu.functions.text import fold_words, fold_words_of
 from tramsu.session import spread
 
-#: Cells of the table of token counts. It is all that is broadcast: 4 bytes a cell, whatever the data's size.
+#: Cells of the table of word counts. It is all that is broadcast: 5 bytes a cell, whatever the data's size.
 CELLS = 1 << 20
-#: Records that one group may compare with each other; a token with more is split into blocks of these.
-BLOCK = 3000
-#: Characters of the texts in one block of the exact search; a task holds two blocks.
-BLOCK_CHARS = 16_000_000
+#: What a word weighs, twice: one mostly written with a capital, or a number; any other. Weights
+#: do not depend on how frequent a word is or how many records there are.
+NAMED, PLAIN = 4, 1
+#: Records expected to share a key from which the key is extended by a further word.
+HOT = 1000
+#: Most words of a key.
+DEPTH = 8
+#: Records that one group may compare with each other; a key that may have more is split into blocks of these.
+BLOCK = 4000
+#: With sampling, words kept of a longer text, about; and how much shorter than another a near copy may be.
+SAMPLE, SHORTER = 28, 0.7
+#: Lists of a group of so many records are all short: they are merged by counting, none is set aside. Longer ones go to DivideSkip.
+SMALL = 1000
+
+
+@lru_cache(maxsize=200_000)
+def _chunk(chunk: str) -> tuple[tuple[str, ...], bool | None, bool]:
+    """Folded words of a blank-free chunk, whether its first letter is a capital (None: no letter), whether it ends a sentence."""
+    first = next((c for c in chunk if c.isalpha()), None)
+    return fold_words_of(chunk), None if first is None else first.isupper(), chunk[-1] in ".?!:…"
+
+
+def capitals(text: str) -> tuple[list[str], set[str], bool]:
+    """Folded words, those with a capital within a sentence, and whether the text's case tells names at all."""
+    words: list[str] = []
+    named: set[str] = set()
+    begins, upper, lower = True, 0, 0
+    for chunk in text.split():
+        own, capital, ends = _chunk(chunk)
+        words.extend(own)
+        if capital is not None:
+            if capital:
+                upper += 1
+                if not begins:
+                    named.update(own)
+            else:
+                lower += 1
+            begins = False
+        if ends:
+            begins = True
+    return words, named, 0 < upper <= 4 * max(lower, 1)
+
+
+def cell_of(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) % CELLS
 
 
-def token_hashes(words: list[str]) -> np.ndarray:
-    """32-bit hashes of the distinct words, ascending."""
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(w) for w in words), dtype=np.int64, count=len(words)))
+def _count(batches):
+    total, told, named = Counter(), Counter(), Counter()
 
+    def held():
+        some = list(total)
+        cells = np.fromiter(map(cell_of, some), dtype=np.int64, count=len(some))
+        yield pd.DataFrame({"cell": cells.astype(np.int32), **{c: np.fromiter((k[w] for w in some), dtype=np.int64, count=len(some)) for c, k in (("n", total), ("told", told), ("named", named))}})
+        for k in (total, told, named):
+            k.clear()
 
-def _count(batches):
-    total = np.zeros(CELLS, dtype=np.int64)
     for pdf in batches:
         for text in pdf["text"]:
-            total[token_hashes(fold_words(text)) % CELLS] += 1
-    held = np.flatnonzero(total)
-    for i in range(0, len(held), 100_000):
-        part = held[i : i + 100_000]
-        yield pd.DataFrame({"cell": part.astype(np.int32), "n": total[part]})
-
-
-def token_counts(records: DataFrame) -> np.ndarray:
-    """How many records hold a token, by its cell; over all records. Tokens that share a cell add
-    up, which makes them look less rare: the weights of overlapping are approximate once the different
-    words come near CELLS. The queries use sharing, which counts exactly and weighs nothing."""
-    cells = records.select("text").mapInPandas(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    out = np.zeros(CELLS, dtype=np.int32)
+            words, names, tells = capitals(text)
+            own = set(words)
+            total.update(own)
+            if tells:
+                told.update(own)
+                named.update(names)
+        if len(total) > 200_000:
+            yield from held()
+    yield from held()
+
+
+def word_counts(records: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """By cell, over all records: how many hold the word, and whether it is named, which is written with a
+    capital within sentences in at least half of the texts whose case tells (or in none of those).
+    Words that share a cell share both; that costs time and may move a weight, it loses no word."""
+    cells = records.select("text").mapInPandas(_count, "cell int, n long, told long, named long").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "told", "named")])
     got = cells.toPandas()  # at most CELLS rows
-    out[got["cell"].to_numpy(dtype=np.int64)] = np.minimum(got["n"].to_numpy(dtype=np.int64), 2**31 - 1).astype(np.int32)
-    return out
-
-
-class Order:
-    """The one order of tokens, rare ones first, and their weights (inverse document frequency)."""
-
-    def __init__(self, counts: np.ndarray, n: int):
-        self.counts, self.n = counts, max(n, 1)
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of text in the order, their counts and weights."""
-        t = token_hashes(fold_words(text))
-        c = np.maximum(self.counts[t % CELLS], 1)
-        by = np.lexsort((t, c))
-        t, c = t[by], c[by]
-        return t, c, np.log1p(self.n / c)
-
-
-def _prefixes(held, n: int, share: float):
+    at = got["cell"].to_numpy(dtype=np.int64)
+    counts, named = np.zeros(CELLS, dtype=np.int32), np.ones(CELLS, dtype=np.bool_)
+    counts[at] = np.minimum(got["n"].to_numpy(dtype=np.int64), 2**31 - 1)
+    named[at] = 2 * got["named"].to_numpy() >= got["told"].to_numpy()
+    return counts, named
+
+
+class Signs:
+    """What records are found by: their words in the one order, named and rare ones first, and keys of one word or more."""
+
+    def __init__(self, counts: np.ndarray, named: np.ndarray, n: int, share: float, sample: bool):
+        self.counts, self.named, self.n, self.share, self.sample = counts, named, max(n, 1), share, sample
+        self.sign = lru_cache(maxsize=500_000)(self._sign)
+
+    def _sign(self, word: str) -> tuple[int, int, int, int, int]:
+        """(place, count, weight, code, draw): place is 64 bits that order words; code is 16 bits of which the first tells the weight."""
+        h = xxhash.xxh64_intdigest(word)
+        cell = cell_of(word)
+        count = max(1, int(self.counts[cell]))
+        heavy = word.isdigit() or bool(self.named[cell])
+        place = (0 if heavy else 1) << 63 | min(count, 2**31 - 1) << 32 | h & 0xFFFFFFFF
+        return place, count, NAMED if heavy else PLAIN, (0x8000 if heavy else 0) | h >> 40 & 0x7FFF, h >> 32 & 0xFFFF
+
+    def classes(self, n: int) -> list[int]:
+        """Halvings of the sample at which a text of n words is sought: its own, and that of texts so much
+        shorter or longer as may still be near copies."""
+        if not self.sample:
+            return [0]
+        return sorted({math.floor(math.log2(max(1.0, n * f / SAMPLE))) for f in (SHORTER, 1.0, 1 / SHORTER)})
+
+    def rows(self, words: list[str]) -> Iterator[tuple[list[tuple[int, int]], bytes, int]]:
+        """(keys, each with the most records that may share it; codes of the words in order; weight of all)."""
+        signs = sorted(map(self.sign, set(words)))
+        for c in self.classes(len(words)):
+            own = [s for s in signs if s[4] < 0x10000 >> c] if c else signs
+            total = sum(s[2] for s in own)
+            codes = np.fromiter((s[3] for s in own), dtype=np.uint16, count=len(own)).tobytes()
+            slack = total - math.ceil(self.share * total - 1e-9)
+            out: list[tuple[int, int]] = []
+            self._keys(own, 0, slack, 0, total - slack, c + 1, float(2 * self.n), self.n, 1, out)
+            yield out, codes, total
+
+    def _keys(self, own, start, slack, common, need, key, expected, most, depth, out) -> None:
+        """Keys of all the beginnings that the common words of a pair may have, in order: words before and between them may be
+        missing as long as these weigh no more than slack."""
+        for i in range(start, len(own)):
+            if slack < 0:
+                return
+            place, count, weight, _, _ = own[i]
+            if count > 1:  # else no other record has it
+                k = (key * 0x9E3779B97F4A7C15 ^ place) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF
+                k ^= k >> 29
+                e = min(float(count), expected / 2)  # words that come together do so more often than by chance
+                if e > HOT and depth < DEPTH:
+                    if common + weight >= need:
+                        out.append((k - 0x8000000000000000, min(most, count)))
+                    self._keys(own, i + 1, slack, common + weight, need, k, e, min(most, count), depth + 1, out)
+                else:
+                    out.append((k - 0x8000000000000000, min(most, count)))
+            slack -= weight
+
+
+def _keyed(held, n: int, share: float, sample: bool):
     def run(batches):
-        order = Order(held.value, n)
+        signs = Signs(*held.value, n, share, sample)
+        names = ["key", "cell", "rid", "side", "total", "codes"]
         for pdf in batches:
-            rows = []
-            for rid, text, left, right in zip(pdf["rid"], pdf["text"], pdf["left"], pdf["right"], strict=True):
-                tokens, counts, w = order.of(text)
-                if not len(tokens):
-                    continue
-                total = float(w.sum())
-                rest = total - np.cumsum(w)  # of what follows
-                upto = int(np.argmax(rest < share * total - 1e-9)) + 1
-                packed = tokens.astype(np.uint32).tobytes()
-                home = xxhash.xxh64_intdigest(rid)
-                for token, count in zip(tokens[:upto].tolist(), counts[:upto].tolist(), strict=True):
-                    if count < 2:
-                        continue  # no other record has it
-                    blocks = math.ceil(count / BLOCK)
-                    own = home % blocks
-                    for other in range(blocks):
-                        a, b = min(own, other), max(own, other)
-                        rows.append((token, a, b, own, rid, packed, left, right))
-            for i in range(0, len(rows), 20_000):
-                yield pd.DataFrame(rows[i : i + 20_000], columns=["token", "a", "b", "own", "rid", "tokens", "left", "right"])
+            cols: list[list] = [[] for _ in names]
+            for rid, text, side in zip(pdf["rid"].tolist(), pdf["text"].tolist(), pdf["side"].tolist(), strict=True):
+                for keys, codes, total in signs.rows(fold_words(text)):
+                    for key, most in keys:
+                        blocks = -(-most // BLOCK)
+                        own = rid % blocks
+                        for b in range(blocks):
+                            cols[0].append(key)
+                            cols[1].append(min(own, b) * blocks + max(own, b))
+                            cols[2].append(rid)
+                            cols[3].append(side)
+                            cols[4].append(total)
+                            cols[5].append(codes)
+                if len(cols[0]) > 20_000:
+                    yield pd.DataFrame(dict(zip(names, cols, strict=True)))
+                    cols = [[] for _ in names]
+            yield pd.DataFrame(dict(zip(names, cols, strict=True)))
 
     return run
 
@@ -125,228 +215,152 @@ def divide_skip(lists: list[np.ndarray], weights: np.ndarray, need: float) -> np
     return ids[got >= need - 1e-9]
 
 
-def _search(held, n: int, share: float):
-    def run(batches):
-        counts = held.value
-        weight_of = lambda t: np.log1p(n / np.maximum(counts[t % CELLS], 1))
-
-        def group(key, rows):
-            token, a, b = key
-            if len(rows) < 2:
-                return []
-            left, right = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-            if not (left.any() and right.any()):
-                return []
-            mirrored = bool(left.all() and right.all())
-            sets = [np.frombuffer(r[2], dtype=np.uint32).astype(np.int64) for r in rows]
-            known = np.flatnonzero(left)  # lists hold one side, the other side's records are the queries
-            flat = np.concatenate([sets[i] for i in known])
-            who = np.repeat(known, [len(sets[i]) for i in known])
-            by = np.lexsort((who, flat))
-            flat, who = flat[by], who[by]
-            tokens, first = np.unique(flat, return_index=True)
-            bounds = np.append(first, len(flat))
-            w = weight_of(tokens)
-            totals = np.array([weight_of(s).sum() for s in sets])
-            own = np.array([r[0] for r in rows])
-            out = []
-            for q in np.flatnonzero(right).tolist():
-                ids = np.searchsorted(tokens, sets[q])
-                held_ = ids < len(tokens)
-                ids = ids[held_][tokens[ids[held_]] == sets[q][held_]]
-                lists = [who[bounds[i] : bounds[i + 1]] for i in ids]
-                if mirrored:
-                    lists = [x[: np.searchsorted(x, q)] for x in lists]  # records before this one
-                some = [k for k, x in enumerate(lists) if len(x)]
-                for r in divide_skip([lists[k] for k in some], w[ids[some]], share * totals[q]).tolist():
-                    if r == q or a != b and own[q] == own[r]:
-                        continue  # another group has both
-                    if left[q] and right[r] and r > q:
-                        continue  # found from the other side
-                    common = sets[q][np.isin(sets[q], sets[r], assume_unique=True)]
-                    if common[0] != token:
-                        continue  # found by a rarer token
-                    if weight_of(common).sum() >= share * max(totals[q], totals[r]) - 1e-9:
-                        out.append((rows[r][1], rows[q][1]))
-            return out
-
-        key, rows, found = None, [], []
-        for pdf in batches:
-            for token, a, b, *row in zip(*[pdf[c].tolist() for c in ("token", "a", "b", "own", "rid", "tokens", "left", "right")], strict=True):
-                if (token, a, b) != key:
-                    if key is not None:
-                        found.extend(group(key, rows))
-                    key, rows = (token, a, b), []
-                rows.append(row)
-            if found:
-                yield pd.DataFrame(found, columns=["x", "y"])
-                found = []
-        if key is not None and (found := group(key, rows)):
-            yield pd.DataFrame(found, columns=["x", "y"])
-
-    return run
-
-
-def overlapping(records: DataFrame, share: float) -> DataFrame:
-    """records: rid (string, unique), text, left, right (booleans). Returns x, y: each unordered
-    pair of records, one left and the other right, whose common words weigh (by inverse document
-    frequency) at least share of the heavier one's words. Words count without case and accents.
-
-    Such a pair shares a word among the rarest words that make up 1 - share of either one's weight;
-    records meet in groups by those words, and within a group a T-occurrence search by DivideSkip
-    finds those that reach the overlap. A word of many records makes several groups of bounded
-    size (blocks against blocks), so no task gets a hot word whole. Every pair comes out once.
-    """
-    records = spread(records)
-    n = records.count()
-    counts = token_counts(records)
-    held = records.sparkSession.sparkContext.broadcast(counts)
-    rows = records.select("rid", "text", "left", "right").mapInPandas(
-        _prefixes(held, n, share), "token long, a int, b int, own int, rid string, tokens binary, left boolean, right boolean"
-    )
-    near = rows.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b")
-    return near.mapInPandas(_search(held, n, share), "x string, y string")
-
-
-def element_hashes(words: list[str]) -> bytes:
-    """32-bit hashes of all words, repeated ones told apart by how often they came before."""
-    seen: dict[str, int] = {}
-    out = np.empty(len(words), dtype=np.uint32)
-    for i, w in enumerate(words):
-        k = seen[w] = seen.get(w, 0) + 1
-        out[i] = xxhash.xxh32_intdigest(w if k == 1 else f"{w} {k}")
-    return out.tobytes()
-
-
-def _elements(batches):
-    for pdf in batches:
-        yield pdf[["rid", "left", "right"]].assign(words=[element_hashes(fold_words(t)) for t in pdf["text"]])
-
-
-class _Cell:
-    """Two blocks of records, or one with itself: rows are (own, rid, left, right, words)."""
-
-    def __init__(self, rows: list[tuple], least: float):
-        self.own = np.array([r[0] for r in rows])
-        self.rid = np.array([r[1] for r in rows], dtype=object)
-        self.left, self.right = (np.array([r[i] for r in rows], dtype=bool) for i in (2, 3))
-        self.size = np.array([len(r[4]) // 4 for r in rows], dtype=np.int64)
-        flat = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint32)
-        kinds, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-        rank = np.empty(len(kinds), dtype=np.int64)
-        rank[np.argsort(n, kind="stable")] = np.arange(len(kinds))  # rare words first
-        self.start = np.cumsum(self.size) - self.size
-        who = np.repeat(np.arange(len(rows)), self.size)
-        self.words = (np.sort(who * len(kinds) + rank[at]) % max(1, len(kinds))).astype(np.int32)
-        self.kinds = len(kinds)
-        self.needs = np.array([least_same(m, least) for m in range(int(self.size.max(initial=0)) + 1)], dtype=np.int64)
-        need = self.needs[self.size]
-        self.some = np.maximum(1, need * 3 // 5)
-        self.front = self.size - need + self.some  # among so many of their rarest words, such pairs have some in common
-        self.in_front = np.arange(len(flat)) - self.start[who] < self.front[who]
-        self.who = who
-
-    def pairs(self, index: np.ndarray, queries: np.ndarray):
-        """(record, records of index) that have enough words in common."""
-        place = np.full(len(self.size), -1, dtype=np.int64)
-        place[index] = np.arange(len(index))
-        held = np.flatnonzero(self.in_front & (place[self.who] >= 0))
-        held = held[np.argsort(self.words[held], kind="stable")]
-        bounds = np.searchsorted(self.words[held], np.arange(self.kinds + 1)).tolist()
-        lists = place[self.who[held]]
-        some, mark = self.some[index], np.zeros(self.kinds, dtype=bool)
-        for q in queries.tolist():
-            own = self.words[self.start[q] : self.start[q] + self.size[q]]
-            short = [lists[bounds[w] : bounds[w + 1]] for w in own[: self.front[q]].tolist() if bounds[w] < bounds[w + 1]]
-            if not short:
-                continue
-            got = np.bincount(np.concatenate(short), minlength=len(index))
-            r = index[np.flatnonzero(got >= np.minimum(some, self.some[q]))]
-            need = self.needs[np.maximum(self.size[r], self.size[q])]
-            fit = (np.minimum(self.size[r], self.size[q]) >= need) & (r != q)
-            r, need = r[fit], need[fit]
-            if not len(r):
-                continue
-            mark[own] = True  # of those that may reach it, all words are looked up
-            size = self.size[r]
-            first = np.cumsum(size) - size
-            common = np.add.reduceat(mark[self.words[np.repeat(self.start[r] - first, size) + np.arange(int(size.sum()))]].astype(np.int64), first)
-            mark[own] = False
-            r = r[common >= need]
-            if len(r):
-                yield q, r
-
-    def found(self, a: int, b: int):
-        both = self.left & self.right
-        for i, j in [(a, b)] if a == b else [(a, b), (b, a)]:
-            index, queries = np.flatnonzero(self.left & (self.own == i)), np.flatnonzero(self.right & (self.own == j))
-            if i > j and both[index].all() and both[queries].all():
-                continue  # all found from the other side
-            for q, r in self.pairs(index, queries):
-                if both[q]:
-                    r = r[~both[r] | (r < q)] if i == j else r[~both[r]] if i > j else r
-                yield self.rid[r], np.full(len(r), self.rid[q], dtype=object)
-
-
-def _in_cells(least: float):
-    def search(key, rows):
-        xs, ys, n = [], [], 0
-        for x, y in _Cell(rows, least).found(*key):
-            xs.append(x)
-            ys.append(y)
-            n += len(x)
-            if n > 50_000:
-                yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)})
-                xs, ys, n = [], [], 0
-        if n:
-            yield pd.DataFrame({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+def _bits(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A map of 256 bits for the named words and one of 192 for the others of each record; by how much the weight of
+    common words may be more than their common bits say, as two words can share a bit."""
+    flat = np.frombuffer(b"".join(codes), dtype=np.uint16).astype(np.int64)
+    sizes = np.fromiter((len(c) // 2 for c in codes), dtype=np.int64, count=len(codes))
+    who = np.repeat(np.arange(len(codes)), sizes)
+    heavy = flat >= 0x8000
+    at = np.where(heavy, flat % 256, 256 + flat % 192)
+    held = np.zeros((len(codes), 448), dtype=np.uint8)
+    held[who, at] = 1
+    packed = np.packbits(held, axis=1).view(np.uint64)
+    weight = np.bincount(who, weights=np.where(heavy, NAMED, PLAIN), minlength=len(codes))
+    shown = NAMED * held[:, :256].sum(axis=1, dtype=np.int64) + PLAIN * held[:, 256:].sum(axis=1, dtype=np.int64)
+    return packed, weight - shown
+
+
+def _merged(bounds: np.ndarray, codes: list[bytes], totals: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of small groups that reach the overlap. Every list is short and none is set aside: bits of the
+    words are counted, and words themselves where the bits can reach it."""
+    packed, spare = _bits(codes)
+    sets: dict[int, frozenset] = {}
+
+    def words(i: int) -> frozenset:
+        if i not in sets:
+            sets[i] = frozenset(np.frombuffer(codes[i], dtype=np.uint16).tolist())
+        return sets[i]
+
+    sizes = np.diff(bounds)
+    xs, ys = [], []
+    later = np.repeat(bounds[1:], sizes) - np.arange(bounds[0], bounds[-1]) - 1  # records of the group after this one
+    first = np.arange(bounds[0], bounds[-1])
+    ends = np.cumsum(later)
+    at = 0
+    while at < len(first):  # so many pairs at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, side="right")))
+        n = later[at:to]
+        i = np.repeat(first[at:to], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        need = share * np.maximum(totals[i], totals[j])
+        fits = np.minimum(totals[i], totals[j]) >= need - 1e-9
+        i, j, need = i[fits], j[fits], need[fits]
+        got = np.minimum(spare[i], spare[j]).astype(np.float64)
+        for k in range(packed.shape[1]):
+            got += (NAMED if k < 4 else PLAIN) * np.bitwise_count(packed[i, k] & packed[j, k]).astype(np.float64)
+        fits = got >= need - 1e-9
+        for x, y, least in zip(i[fits].tolist(), j[fits].tolist(), need[fits].tolist(), strict=True):
+            both = words(x) & words(y)
+            if sum([NAMED if c >= 0x8000 else PLAIN for c in both]) >= least - 1e-9:
+                xs.append(x)
+                ys.append(y)
+        at = to
+    return np.array(xs, dtype=np.int64), np.array(ys, dtype=np.int64)
+
+
+def _divided(codes: list[bytes], totals: np.ndarray, side: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a large group: inverted lists of the records that stand left, records that stand right are the queries."""
+    known = np.flatnonzero(side & 1)
+    flat = np.frombuffer(b"".join(codes[i] for i in known), dtype=np.uint16)
+    who = np.repeat(known, [len(codes[i]) // 2 for i in known])
+    by = np.argsort(flat, kind="stable")
+    flat, who = flat[by], who[by]
+    kinds, first = np.unique(flat, return_index=True)
+    bounds = np.append(first, len(flat))
+    xs, ys = [], []
+    for q in np.flatnonzero(side & 2).tolist():
+        own = np.unique(np.frombuffer(codes[q], dtype=np.uint16))
+        at = np.searchsorted(kinds, own)
+        fits = at < len(kinds)
+        at = at[fits][kinds[at[fits]] == own[fits]]
+        lists = [who[bounds[k] : bounds[k + 1]] for k in at.tolist()]
+        if not lists:
+            continue
+        weights = np.where(kinds[at] >= 0x8000, NAMED, PLAIN)
+        r = divide_skip(lists, weights, share * totals[q])
+        r = r[(r != q) & (totals[q] >= share * totals[r] - 1e-9)]
+        xs.append(r)
+        ys.append(np.full(len(r), q))
+    if not xs:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _search(share: float):
+    def done(pdf, bounds):
+        """Rows of whole groups, from bounds to bounds."""
+        rid, side, total = (pdf[c].to_numpy() for c in ("rid", "side", "total"))
+        every = np.bitwise_or.reduceat(side, bounds[:-1])
+        sizes = np.diff(bounds)
+        codes = pdf["codes"].tolist()
+        found = []
+        small = np.flatnonzero((sizes > 1) & (sizes <= SMALL) & (every == 3))
+        if len(small):
+            rows = np.concatenate([np.arange(a, b) for a, b in zip(bounds[small].tolist(), bounds[small + 1].tolist(), strict=True)])
+            own = np.concatenate([[0], np.cumsum(sizes[small])])
+            i, j = _merged(own, [codes[r] for r in rows.tolist()], total[rows], share)
+            found.append((rows[i], rows[j]))
+        for k in np.flatnonzero((sizes > SMALL) & (every == 3)).tolist():
+            a, b = int(bounds[k]), int(bounds[k + 1])
+            i, j = _divided(codes[a:b], total[a:b], side[a:b], share)
+            found.append((a + i, a + j))
+        for i, j in found:
+            ok = ((side[i] & 1) & (side[j] >> 1) | (side[j] & 1) & (side[i] >> 1)).astype(bool) & (rid[i] != rid[j])
+            x, y = rid[i[ok]], rid[j[ok]]
+            if len(x):
+                yield pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)}).drop_duplicates()
 
     def run(batches):
-        key, rows = None, []
+        rest = None
         for pdf in batches:
-            for a, b, *row in zip(*[pdf[c].tolist() for c in ("a", "b", "own", "rid", "left", "right", "words")], strict=True):
-                if (a, b) != key:
-                    if rows:
-                        yield from search(key, rows)
-                    key, rows = (a, b), []
-                rows.append(row)
-        if rows:
-            yield from search(key, rows)
+            if rest is not None and len(rest):
+                pdf = pd.concat([rest, pdf], ignore_index=True)
+            key, cell = pdf["key"].to_numpy(), pdf["cell"].to_numpy()
+            new = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+            upto = int(new[-1]) if len(new) else 0
+            if upto:
+                yield from done(pdf.iloc[:upto], np.concatenate([[0], new]).astype(np.int64))
+            rest = pdf.iloc[upto:]
+        if rest is not None and len(rest):
+            yield from done(rest, np.array([0, len(rest)]))
 
     return run
 
 
-def _slots(spark, n: int) -> list[int]:
-    """n numbers that Spark's hash puts into n different partitions."""
-    part = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
-    got = spark.range(40 * n, numPartitions=1).groupBy(part.alias("part")).agg(F.min("id").alias("id")).collect()
-    spare = iter(range(40 * n, 41 * n))  # a partition that none of them meets
-    return [r["id"] for r in got] + [next(spare) for _ in range(n - len(got))]
+def sharing(records: DataFrame, share: float, sample: bool = False) -> DataFrame:
+    """records: rid (long, unique), text, left, right (booleans). Returns x < y: each unordered pair
+    of records, one left and the other right, of which the common words weigh at least share of the heavier one's words.
 
+    Weights are of two kinds: words that the whole table mostly writes with a capital, and numbers, count
+    four times what other words do (what is said of whom makes a text, not the turn of phrase). They do not change with frequency
+    or with the number of records: what a pair must have in common depends on the two texts alone.
 
-def sharing(records: DataFrame, least: float) -> DataFrame:
-    """records: rid (string, unique), text, left, right (booleans). Returns x, y: each unordered pair
-    of records, one left and the other right, that has the common words without which same.compare
-    cannot give least (see least_same); repeated words count as often as both have them. The bound
-    depends on the two texts alone, not on the table: a word that was changed costs one word,
-    however rare, and a common word counts one, however frequent.
+    Words are ordered, named and rare ones first. The first common word of such a pair stands, in
+    either text, where the words before it weigh no more than may be missing: these words are keys, and records
+    meet by key (prefix filter). A key that many records share is extended by the next common word, for which
+    what may still be missing leaves fewer places, and so on up to DEPTH words; no pair is lost by
+    that. Within a group inverted lists are searched by DivideSkip for those that reach the overlap. A key of more than
+    BLOCK records makes several groups (blocks against blocks). Codes of 16 bits stand for words
+    within groups; two words with one code can only add candidates.
 
-    Records are dealt into blocks of about BLOCK_CHARS, and each pair of blocks is searched in one task, so no
-    word, however frequent, makes a larger one. There words are ordered, rare ones first: a pair has
-    some words in common among the rarest of both. Their short lists are merged; only records that
-    reach the count there are looked up in the long rest (T-occurrence as by DivideSkip).
-    Every pair comes out once.
+    With sample, texts of more than SAMPLE words are sought by a share of their words, a half, a quarter and so on, that hashing draws, the
+    same words in all texts; a text near the bound of two shares is sought by both.
     """
-    n, chars = records.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    k = max(-(-chars // BLOCK_CHARS), min(4, 1 + n // 2000))
-    cells = k * (k + 1) // 2
-    rows = spread(records.select("rid", "text", "left", "right")).mapInPandas(_elements, "rid string, left boolean, right boolean, words binary")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.lit(k)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    rows = rows.select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rid", "left", "right", "words")
-    cell = (F.col("b") * (F.col("b") + 1) / 2 + F.col("a")).cast("int")
-    if cells <= 200:  # one task each
-        slots = F.array(*[F.lit(int(i)) for i in _slots(records.sparkSession, cells)])
-        dealt = rows.repartition(cells, F.get(slots, cell))
-    else:
-        dealt = rows.repartition(cells, cell)
-    return dealt.sortWithinPartitions("a", "b").mapInPandas(_in_cells(least), "x string, y string")
+    records = spread(records)
+    n = records.count()
+    held = records.sparkSession.sparkContext.broadcast(word_counts(records))
+    side = (F.col("left").cast("int") + 2 * F.col("right").cast("int")).alias("side")
+    rows = records.select("rid", "text", side).mapInPandas(_keyed(held, n, share, sample), "key long, cell long, rid long, side int, total int, codes binary")
+    near = rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return near.mapInPandas(_search(share), "x long, y long").distinct()

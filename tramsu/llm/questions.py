@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 
 from tramsu.functions.text import fold_words
 from tramsu.llm.overlap import sharing
-from tramsu.llm.same import LEAST_SAME, same_question
+from tramsu.llm.same import same_question
 from tramsu.operators.graph import connected_components
 from tramsu.session import cut, keep, spread
 
 
+def _rid(words: str) -> int:
+    """64 bits of the hash of a text's folded words."""
+    return int.from_bytes(hashlib.sha256(words.encode()).digest()[:8], "big", signed=True)
+
+
 def _canon(batches):
     for pdf in batches:
         words = [" ".join(fold_words(x)) for x in pdf["text"]]
-        pdf["rid"] = [hashlib.sha256(w.encode()).hexdigest()[:16] if w else None for w in words]
+        pdf["rid"] = pd.array([_rid(w) if w else None for w in words], dtype="Int64")
         yield pdf.drop(columns="text")
 
 
@@ -27,7 +32,7 @@ def canon_of(rows: DataFrame, *extra: str) -> DataFrame:
     text's folded words; null keys, null texts and texts without a word are dropped, repeated rows made one."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     cols = ["key", *extra]
-    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", rid string"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols) + ", rid long"
     known = rows.select(*cols, "text").where("key is not null and text is not null")
     return known.mapInPandas(_canon, schema).where("rid is not null").distinct()
 
@@ -41,7 +46,7 @@ def with_text(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     def own(batches):
         for pdf in batches:
             words = [" ".join(fold_words(x)) for x in pdf["text"]]
-            keep = [hashlib.sha256(w.encode()).hexdigest()[:16] == r for w, r in zip(words, pdf["rid"], strict=True)]
+            keep = [_rid(w) == r for w, r in zip(words, pdf["rid"], strict=True)]
             yield pdf[keep]
 
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", text string"
@@ -59,14 +64,17 @@ def _verify(same):
     return run
 
 
-def same_pairs(nodes: DataFrame, least: float = LEAST_SAME, same=same_question) -> DataFrame:
-    """nodes: rid, text, left, right. Pairs x, y that pass same(text, text), which must ask of
-    compare a share of least at the least: all pairs that can reach it are compared."""
-    found = sharing(nodes, least)
+#: The least weight that the common words of one question in two wordings have (see overlap.sharing).
+SHARE = 0.65
+
+
+def same_pairs(nodes: DataFrame, share: float = SHARE, same=same_question) -> DataFrame:
+    """nodes: rid, text, left, right. Pairs x, y whose common words weigh share and that pass same(text, text)."""
+    found = sharing(nodes, share)
     text = nodes.select("rid", "text")
     with_a = found.join(text.select(F.col("rid").alias("x"), F.col("text").alias("ta")), "x")
     with_b = with_a.join(text.select(F.col("rid").alias("y"), F.col("text").alias("tb")), "y")
-    return with_b.select("x", "y", "ta", "tb").mapInPandas(_verify(same), "x string, y string")
+    return with_b.select("x", "y", "ta", "tb").mapInPandas(_verify(same), "x long, y long")
 
 
 def groups(items: DataFrame, key: str = "item_id", text: str = "question") -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 from tramsu.functions.text import fold_words_of
 
@@ -12,6 +13,18 @@ _ROMAN = re.compile(r"[IVXLC]+|i{2,3}|iv|vi{2,3}|i?x")  # as written; a lone i o
 _ENDS = ".?!:…"
 
 
+@lru_cache(maxsize=200_000)
+def _typed(chunk: str) -> tuple[tuple[str, ...], bool | None, bool]:
+    """Folded words of a blank-free chunk (numbers with # before them), whether its first letter is a capital (None:
+    no letter), whether it ends a sentence."""
+    own = fold_words_of(chunk)
+    letters = [c for c in chunk if c.isalpha()]
+    if not letters or len(own) == 1 and _ROMAN.fullmatch("".join(letters)):
+        own = tuple("#" + w for w in own)
+    return own, letters[0].isupper() if letters else None, chunk[-1] in _ENDS and len(letters) != 1
+
+
+@lru_cache(maxsize=3000)  # a text is compared with several
 def typed_words(text: str) -> tuple[list[str], set[str], bool]:
     """The folded words (numbers with # before them), those of them that are part of names, and
     whether case tells names at all.
@@ -22,19 +35,16 @@ def typed_words(text: str) -> tuple[list[str], set[str], bool]:
     begins = True
     upper = lower = 0
     for chunk in text.split():
-        own = fold_words_of(chunk)
-        letters = [c for c in chunk if c.isalpha()]
-        if not letters or _ROMAN.fullmatch("".join(letters)) and len(own) == 1:
-            own = tuple("#" + w for w in own)
-        if letters:
-            if letters[0].isupper():
+        own, capital, ends = _typed(chunk)
+        if capital is not None:
+            if capital:
                 upper += 1
                 if not begins:
                     names.update(own)
             else:
                 lower += 1
             begins = False
-        if chunk[-1] in _ENDS and len(letters) != 1:
+        if ends:
             begins = True
         words.extend(own)
     shouted = upper > 4 * max(lower, 1)
