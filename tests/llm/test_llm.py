@@ -1,6 +1,9 @@
 import os
 import random
+import time
 import unicodedata
+from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -189,6 +192,7 @@ def test_pieces(spark, tmp_path):
     texts = {
         "short": "một câu.", "edge": "x" * 1500, "run": "y" * 5000, "empty": "", "lines": "\n\n".join(" ".join(_passage(rng, 60)) + "." for _ in range(40)),
         "long": " ".join(_passage(rng, 60_000)), "abbr": ("Theo TS. K. và GS. M. (tr. 12.000 v.v.), vua về. " * 60).strip(), "marks": unicodedata.normalize("NFD", "Đường về phía bắc. ") * 200,
+        "accents": unicodedata.normalize("NFD", "é" * 2000), "odd": "x" + unicodedata.normalize("NFD", "é" * 2000),
     }
     df = spark.createDataFrame([*texts.items(), ("short", "một câu."), ("none", None), (None, "x")], "context_id string, context string")
     rows = {}
@@ -203,6 +207,7 @@ def test_pieces(spark, tmp_path):
     assert len(rows["edge"]) == 1 and {r["cut"] for r in rows["run"]} == {"hard", "end"}
     assert {r["cut"] for r in rows["lines"]} <= {"paragraph", "end"}
     assert all(r["piece"].endswith("về. ") for r in rows["abbr"] if r["cut"] != "end")
+    assert not any(unicodedata.combining(t[r["end"]]) for k, t in texts.items() for r in rows[k] if r["end"] < len(t))
     path = tmp_path / "big.txt"
     path.write_text(texts["long"] + "\n\n" + texts["lines"], encoding="utf-8")
     ranges = pieces.ranges_of_files(spark, [str(path)])
@@ -211,6 +216,14 @@ def test_pieces(spark, tmp_path):
     assert [r["piece"] for r in got] == [whole[r["start"] : r["end"]] for r in got] and got[-1]["end"] == len(whole)
 
 
+def test_boundaries_take_linear_time():
+    began = time.perf_counter()
+    for c in ["a", ".", " ", '"', ",", ". ", "e\u0301"]:
+        pieces.boundaries(c * (65_536 // len(c)))
+    assert time.perf_counter() - began < 2
+    assert {o: k for o, k in pieces.boundaries("Ông TS. Minh nói. Rồi đi.").items() if k > 1} == {18: 3}
+
+
 # --- p5
 
 
@@ -248,12 +261,26 @@ def test_groups_stay_together(spark):
 def test_assignment_meets_proportions(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(f"g{i}", rng.randrange(1, 40)) for i in range(500)] + [("hot", 1500)], "group string, rows long")
-    for head in (20_000, 50):
-        got = splitting.assign(df, head=head).collect()
-        total = sum(r["size"] for r in got)
-        assert len(got) == 501
-        for s, p in splitting.PROPORTIONS.items():
-            assert abs(sum(r["size"] for r in got if r["new_split"] == s) / total - p) < 0.02
+    got = splitting.assign(df).collect()
+    total = sum(r["size"] for r in got)
+    assert len(got) == 501
+    for s, p in splitting.PROPORTIONS.items():
+        assert abs(sum(r["size"] for r in got if r["new_split"] == s) / total - p) < 0.02
+    assert splitting.assign(df.limit(0)).count() == 0
+
+
+def test_assignment_of_many_groups_equals_the_plain_fold(spark):
+    rng = random.Random(3)
+    sizes = {f"g{i:05d}": rng.choice([1, 1, 1, 2, 3, 3, 7, 50]) for i in range(25_000)}
+    below = {s: Fraction(str(p)) * sum(sizes.values()) for s, p in splitting.PROPORTIONS.items()}
+    want: Counter = Counter()
+    for n in sorted(sizes.values(), reverse=True):
+        s = max(below, key=below.get)
+        below[s] -= n
+        want[n, s] += 1
+    got = splitting.assign(spark.createDataFrame(list(sizes.items()), "group string, rows long"))
+    assert {(r["size"], r["new_split"]): r["count"] for r in got.groupBy("size", "new_split").count().collect()} == dict(want)
+    assert {r["group"]: r["size"] for r in got.collect()} == sizes
 
 
 # --- p7
@@ -334,6 +361,17 @@ def test_short_parts_are_found():
         assert contamination.Scanner([("i", " ".join(words[:n]))]).scan("trước đó " + text + " sau đó"), n
 
 
+def test_stems_that_many_items_share(spark, monkeypatch):
+    rng = random.Random(10)
+    stem = " ".join(_passage(rng, 40))
+    items = spark.createDataFrame([(f"q{i}", f"Câu {i}:\n{stem}?\nA. x\nB. y", None) for i in range(9)], "id string, question string, explanation string")
+    docs = spark.createDataFrame([(1, "Trước đó. " + " ".join(stem.split()[5:38]) + " hết"), (2, " ".join(stem.split()[:10]))], "doc_id long, text string")
+    want = {(1, f"q{i}") for i in range(9)}
+    assert {(r["doc_id"], r["id"]) for r in contamination.leaks(docs, items).collect()} == want
+    monkeypatch.setattr(contamination, "MOST_WORDS", 100)  # several automata
+    assert {(r["doc_id"], r["id"]) for r in contamination.leaks(docs, items).collect()} == want
+
+
 def test_leaks_and_offsets(spark):
     rng = random.Random(9)
     stem = " ".join(_passage(rng, 50))
@@ -363,6 +401,18 @@ def test_kinds_on_held_out_sample(spark, data):
     assert s["n_words"] == 4 and s["n_lines"] == 1 and s["lines_ending_in_punctuation"] == 1 and s["mean_word_length"] == 2.75
 
 
+def test_sample_is_bounded_and_calibrated(spark, data):
+    from tramsu.llm.holdout import CHECKED
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    got = quality.sample_statistics(docs, 100)
+    assert 60 < len(got) <= 100 and got["doc_id"].is_unique
+    many = docs.limit(1).crossJoin(spark.range(500).select(F.lit(0).alias("again")))  # one id, delivered again and again
+    assert len(quality.sample_statistics(many, 100)) <= 1
+    found = quality.calibration(quality.fit(docs), CHECKED)
+    assert found["accuracy"] > 0.85 and found["error"] < 0.2, found
+
+
 def test_kinds_of_edges(spark):
     from tramsu.llm.holdout import CHECKED
 

@@ -160,15 +160,17 @@ class Languages:
 
 
 def fit_languages(texts: DataFrame, most: int = 300) -> Languages:
-    """texts: text, lang. Fitted on at most `most` texts of each of the languages vi, en and fr, the
-    first by a hash, with and without accents (Vietnamese is typed without them too)."""
+    """texts: text, lang. Fitted on the whole of at most `most` different texts of each of the languages vi, en and fr,
+    the first by a hash, with and without accents (Vietnamese is typed without them too)."""
     from tramsu.functions.text import fold_text
 
     lang = F.substring(F.lower(F.trim("lang")), 1, 2)
-    rows = texts.select("text", lang.alias("lang")).where("lang in ('vi', 'en', 'fr') and length(text) > 80")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    got = rows.withColumn("k", rank).where(F.col("k") <= most).select("lang", F.substring("text", 1, 4000).alias("text")).toPandas()
-    held = list(zip(got["lang"], got["text"], strict=True))
+    rows = texts.where("text is not null").select("text", lang.alias("lang"), F.xxhash64("text").alias("draw")).where("lang in ('vi', 'en', 'fr') and trim(text) <> ''")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = rows.select("lang", "draw").distinct().withColumn("k", rank).where(F.col("k") <= most).select("lang", "draw").collect()  # hashes, not texts
+    chosen = rows.where(F.col("draw").isin([r["draw"] for r in drawn])).dropDuplicates(["lang", "draw"]).toPandas()
+    wanted = {(r["lang"], r["draw"]) for r in drawn}
+    held = sorted((k, t) for k, t, d in zip(chosen["lang"], chosen["text"], chosen["draw"], strict=True) if (k, d) in wanted)
     return Languages([*held, *[(k, ". ".join(fold_text(x) for x in t.split(". "))) for k, t in held if k == "vi"]])
 
 

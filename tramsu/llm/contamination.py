@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from difflib import SequenceMatcher
 
@@ -17,14 +18,14 @@ from tramsu.session import spread
 RUN = 30
 #: Words of a pattern; items hold every run of so many words of their parts.
 SEED = 4
-#: Most item parts that one pattern may stand in to begin a comparison; patterns of more parts are
-#: phrases of the domain, and a leak of RUN words also holds rarer ones.
+#: Item parts that one pattern may stand in and still begin every comparison. Patterns of more parts are phrases of the
+#: domain or stems that items share: they begin one only for stretches of an item that have too few others.
 PARTS = 6
 #: Patterns along one diagonal from which item and text are aligned. RUN words hold RUN - SEED + 1
 #: patterns, of which a changed word costs SEED; fewer are a quoted phrase or a common turn. A part
 #: of few patterns needs those that one changed word leaves, one at least.
 LEAST_SEEDS = 6
-#: Items may hold at most so many words in all: the automaton is broadcast.
+#: Words of items that one automaton holds, about; more items make several, each of which scans all texts.
 MOST_WORDS = 2_000_000
 
 _NUMBER = re.compile(r"^\s*Câu\s*\d+\s*[:.]\s*", re.IGNORECASE)
@@ -50,20 +51,33 @@ class Scanner:
 
         self.run = run
         self.parts = [(i, w) for i, t in parts if (w := fold_words(t))]
-        if sum(len(w) for _, w in self.parts) > MOST_WORDS:
-            raise ValueError("more held-out words than the automaton may hold")
         at: dict[str, list[tuple[int, int]]] = {}
         for p, (_, words) in enumerate(self.parts):
             n = min(SEED, len(words))
             for k in range(len(words) - n + 1):
                 at.setdefault(" " + " ".join(words[k : k + n]) + " ", []).append((p, k))
+        rare = {pattern for pattern, places in at.items() if len({p for p, _ in places}) <= PARTS}
+        poor = {p: self._poor(words, rare) for p, (_, words) in enumerate(self.parts)}
         self.automaton = ahocorasick.Automaton()
         for pattern, places in at.items():
-            self.automaton.add_word(pattern, (len(pattern), places if len({p for p, _ in places}) <= PARTS else []))
+            self.automaton.add_word(pattern, (len(pattern), places if pattern in rare else [(p, k) for p, k in places if k in poor[p]]))
         if at:
             self.automaton.make_automaton()
         self.empty = not at
 
+    def _poor(self, words: list[str], rare: set[str]) -> set[int]:
+        """Places of patterns in the stretches of so many words as a leak needs whose rare patterns would not do once two words are changed."""
+        n = min(SEED, len(words))
+        told = [" " + " ".join(words[k : k + n]) + " " in rare for k in range(len(words) - n + 1)]
+        wide = max(1, min(self.run, len(words)) - n + 1)
+        out: set[int] = set()
+        held = sum(told[:wide])
+        for k in range(len(told) - wide + 1):
+            if held < LEAST_SEEDS + 2 * SEED:
+                out.update(range(k, k + wide))
+            held += (told[k + wide] if k + wide < len(told) else 0) - told[k]
+        return out
+
     def scan(self, text: str) -> list[tuple[str, int, int]]:
         """(item id, start, end) of leaks, by offsets in text as it stands."""
         if self.empty or not text:
@@ -133,9 +147,23 @@ class Scanner:
         return y.a - x.a - x.size <= 7 and y.b - x.b - x.size <= 20
 
 
-def _scan(held):
+_SCANNERS: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, parts: list[tuple[str, str]]) -> Scanner:
+    """One automaton a worker, not one a task."""
+    if name not in _SCANNERS:
+        while len(_SCANNERS) > 1:
+            _SCANNERS.pop(next(iter(_SCANNERS)))
+        _SCANNERS[name] = Scanner(parts)
+    return _SCANNERS[name]
+
+
+def _scan(held, name: str):
     def run(batches):
-        scanner = Scanner(held.value)
+        from tramsu.llm.contamination import _scanner  # the worker's own module, which keeps it
+
+        scanner = _scanner(name, held.value)
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -150,17 +178,23 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     or RUN consecutive words of one, and where (code points of the text as stored).
 
     All runs of SEED folded words of all items make one Aho-Corasick automaton, which every
-    executor gets (it is refused beyond MOST_WORDS words) and every text passes once; words keep
-    their place in the text. Where several patterns of an item lie along one diagonal, item and
+    executor gets and every text passes once; words keep their place in the text. The words of the items are counted before
+    they are collected: beyond MOST_WORDS items are dealt to several automata of about that size, one after the other. Where several patterns of an item lie along one diagonal, item and
     text are aligned there: words changed, left out or put in are allowed, as long as the stretch
     is in order, covers enough and is interrupted but shortly.
 
     Null and empty texts carry nothing; null or empty stems and explanations are sought nowhere;
     an item without id is left out; rows delivered again count once; further columns are ignored.
     """
-    rows = items.where("id is not null").select("id", "question", "explanation").distinct().toPandas()  # bounded: see MOST_WORDS
-    parts = [(r.id, t) for r in rows.itertuples() for t in (stem_of(r.question), explanation_of(r.explanation)) if t]
-    held = docs.sparkSession.sparkContext.broadcast(parts)
+    rows = items.where("id is not null").select("id", "question", "explanation").distinct()
+    size = F.size(F.split(F.concat_ws(" ", "question", "explanation"), r"\s+"))
+    shards = max(1, -(-int(rows.agg(F.sum(size)).first()[0] or 0) // MOST_WORDS))
     texts = spread(docs.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = texts.mapInPandas(_scan(held), "doc_id long, id string, start long, end long")
+    found = None
+    for shard in range(shards):
+        got = rows.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == shard).toPandas()  # about MOST_WORDS words
+        parts = [(r.id, t) for r in got.itertuples() for t in (stem_of(r.question), explanation_of(r.explanation)) if t]
+        held = docs.sparkSession.sparkContext.broadcast(parts)
+        one = texts.mapInPandas(_scan(held, uuid.uuid4().hex), "doc_id long, id string, start long, end long")
+        found = one if found is None else found.unionByName(one)
     return found.groupBy("doc_id", "id").agg(F.min(F.struct("start", "end")).alias("at")).select("doc_id", "id", "at.start", "at.end")

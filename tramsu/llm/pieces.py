@@ -17,13 +17,18 @@ RANGE, HALO = 65_536, 96
 KINDS = ("hard", "blank", "clause", "sentence", "line", "paragraph")
 #: Fixed: abbreviations whose full stop ends no sentence (Vietnamese, English, French).
 ABBREVIATIONS = "ts gs pgs ths tr tp v.v vv st mr mrs ms dr prof no vol pp p fig art etc av bd m mme mlle".split()
-_SENTENCE = re.compile(r"(?P<word>[^\s.!?…]*)[.!?…]+[\"'”’»)\]]*\s+(?=[\"'“‘«(\[\-–—]*[\w])")
+_STOP = re.compile(r"(?<![.!?…])[.!?…]+[\"'”’»)\]]*\s+(?=[\"'“‘«(\[\-–—]*[\w])")
+_WORD = re.compile(r"[^\s.!?…]*\Z")  # before a stop; longer ones than WORD are no abbreviations
+WORD = 12
 _CLAUSE = re.compile(r"[,;:–—]\s+")
-_BLANK = re.compile(r"\s+(?=\S)")
+_BLANK = re.compile(r"(?<!\s)\s+(?=\S)")
+#: What hard cuts do not part from the letter before: combining marks, joiners and variation selectors.
+_JOINED = re.compile("[\u0300-\u036f\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u093a-\u094f\u0e31\u0e34-\u0e3a\u1ab0-\u1aff\u1dc0-\u1dff\u200d\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\U0001f3fb-\U0001f3ff]")
 
 
 def boundaries(text: str) -> dict[int, int]:
-    """Offsets in text at which a piece may end (the next one starts there), with their kind."""
+    """Offsets in text at which a piece may end (the next one starts there), with their kind. Linear in the text:
+    runs of blanks and stops are entered at their front only, and the word before a stop is looked up behind it."""
     found: dict[int, int] = {}
     for m in _BLANK.finditer(text):
         breaks = m.group().count("\n") + m.group().count("\r") - m.group().count("\r\n")
@@ -31,11 +36,12 @@ def boundaries(text: str) -> dict[int, int]:
     for m in _CLAUSE.finditer(text):
         if found.get(m.end()) == 1:
             found[m.end()] = 2
-    for m in _SENTENCE.finditer(text):
-        word = m.group("word").lower().lstrip("\"'“‘«([")
-        short = len(word) == 1 and word.isalpha() or word in ABBREVIATIONS
-        if not (short and "." in m.group()) and found.get(m.end(), 9) < 3:
-            found[m.end()] = 3
+    for m in _STOP.finditer(text):
+        if found.get(m.end(), 9) < 3:
+            word = _WORD.search(text, max(0, m.start() - WORD), m.start()).group().lower().lstrip("\"'“‘«([")
+            short = len(word) == 1 and word.isalpha() or word in ABBREVIATIONS
+            if not (short and "." in m.group()):
+                found[m.end()] = 3
     return found
 
 
@@ -44,8 +50,9 @@ def _detect(batches):
         at, kind = [], []
         for before, core, after in zip(pdf["before"], pdf["core"], pdf["after"], strict=True):
             low, high = len(before), len(before) + len(core)
-            own = {o - low: k for o, k in boundaries(before + core + after).items() if low < o <= high}
-            # where a combining mark follows, a hard cut would part it from its letter
+            text = before + core + after
+            own = {m.start() - low: -1 for m in _JOINED.finditer(text, low + 1, high + 1)}
+            own |= {o - low: k for o, k in boundaries(text).items() if low < o <= high}
             at.append(sorted(own))
             kind.append([own[o] for o in at[-1]])
         yield pdf[["id", "range_no", "from_char", "n_chars"]].assign(at=at, kind=kind)
@@ -58,11 +65,15 @@ def _plan(limit: int, overlap: int):
     def cut(start: int, bounds: list[tuple[int, int]]) -> tuple[int, int]:
         end = start + limit
         for low in (start + max(limit // 2, overlap), start + overlap):
-            reach = [(k, o) for o, k in bounds if low < o <= end]
+            reach = [(k, o) for o, k in bounds if low < o <= end and k > 0]
             if reach:
                 k, o = max(reach)
                 return o, k
-        return end, 0
+        parted = {o for o, k in bounds if k < 0}
+        whole = end
+        while whole in parted and whole > start + overlap + 1:
+            whole -= 1
+        return end if whole in parted else whole, 0
 
     def run(batches):
         now, start, upto, no, bounds, rows = None, 0, 0, 1, [], []
@@ -103,16 +114,18 @@ def _plan(limit: int, overlap: int):
 def ranges_of_texts(texts: DataFrame) -> DataFrame:
     """id and text to id, range_no, from_char, n_chars, before, core, after: the ranges of every text with their halos."""
     n = F.length("text")
-    no = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / RANGE).cast("int"))).alias("range_no")
-    r = texts.where(n > 0).select("id", "text", no).withColumn("from_char", (F.col("range_no") * RANGE).cast("long"))
-    first = F.col("from_char").cast("int")
-    core = F.col("text").substr(first + 1, F.lit(RANGE))
-    return r.select(
-        "id", "range_no", "from_char", F.length(core).cast("long").alias("n_chars"),
-        F.col("text").substr(F.greatest(first - HALO, F.lit(0)) + 1, F.least(first, F.lit(HALO))).alias("before"),
-        core.alias("core"),
-        F.col("text").substr(first + RANGE + 1, F.lit(HALO)).alias("after"),
-    )
+
+    def one(no):
+        first = (no * RANGE).cast("int")
+        core = F.col("text").substr(first + 1, F.lit(RANGE))
+        return F.struct(
+            no.alias("range_no"), first.cast("long").alias("from_char"), F.length(core).cast("long").alias("n_chars"),
+            F.col("text").substr(F.greatest(first - HALO, F.lit(0)) + 1, F.least(first, F.lit(HALO))).alias("before"),
+            core.alias("core"), F.col("text").substr(first + RANGE + 1, F.lit(HALO)).alias("after"),
+        )
+
+    numbers = F.sequence(F.lit(0), F.floor((n - 1) / RANGE).cast("int"))
+    return texts.where(n > 0).select("id", F.inline(F.transform(numbers, one)))
 
 
 def _read_ranges(batches):
@@ -171,11 +184,14 @@ def plan_pieces(ranges: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -
 
 def emit_pieces(ranges: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds the text of every planned piece, put together from the ranges it touches."""
-    spans = ranges.select("id", "range_no", "from_char", "n_chars", "core")
-    if_known = F.col("from_char") + F.col("n_chars")
-    marks = plan.join(spans.select("id", "range_no", "from_char", if_known.alias("to_char")), "id")
-    marks = marks.where("start < to_char and end > from_char").drop("from_char", "to_char")
-    parts = marks.join(spans, ["id", "range_no"])
+    def cells(first, after):
+        return F.explode(F.sequence(F.floor(first / RANGE), F.floor((after - 1) / RANGE))).alias("cell")
+
+    to = F.col("from_char") + F.col("n_chars")
+    spans = ranges.where("n_chars > 0").select("id", "range_no", "from_char", "n_chars", "core", cells(F.col("from_char"), to))
+    marks = plan.select("id", "piece_no", "start", "end", "cut", cells(F.col("start"), F.col("end")))
+    # pieces and ranges meet in cells of RANGE characters, by equality; those that share two cells in the first of these
+    parts = marks.join(spans, ["id", "cell"]).where(f"start < from_char + n_chars and end > from_char and cell = floor(greatest(start, from_char) / {RANGE})")
     low = F.greatest(F.col("start") - F.col("from_char"), F.lit(0)).cast("int")
     high = F.least(F.col("end") - F.col("from_char"), F.col("n_chars")).cast("int")
     slices = parts.select("id", "piece_no", "start", "end", "cut", "range_no", F.col("core").substr(low + 1, high - low).alias("part"))

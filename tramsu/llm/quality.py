@@ -212,20 +212,44 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(_statistics, SCHEMA)
 
 
+def sample_statistics(docs: DataFrame, most: int) -> pd.DataFrame:
+    """doc_id and STATISTICS of at most `most` documents: those whose id's hash stands below a threshold that the number of
+    documents sets. Texts are judged where they lie; only statistics, one row an id, leave their task."""
+    rows = docs.where("text is not null and text <> '' and doc_id is not null").withColumn("draw", F.xxhash64(F.lit(7), "doc_id"))
+    n = docs.where("doc_id is not null").count()
+    if n > most:
+        rows = rows.where(F.col("draw") < int(2**64 * 1.2 * most / n) - 2**63)
+    got = document_statistics(spread(rows.select("doc_id", "text"))).dropDuplicates(["doc_id"]).withColumn("draw", F.xxhash64(F.lit(7), "doc_id"))
+    return got.orderBy("draw", "doc_id").limit(most).toPandas()  # statistics only, at most `most` rows
+
+
 def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
-    """Trees on the weak labels of at most `most` documents, calibrated on the hand-checked holdout."""
+    """Trees on the weak labels of at most `most` documents, calibrated on the hand-checked holdout, which
+    none of the trees has seen; of a kind that the sample lacks half of the checked texts join the training."""
     from tramsu.llm.holdout import CHECKED
 
-    sample = docs.where("text is not null and text <> '' and doc_id is not null").orderBy(F.xxhash64("text"), "doc_id").limit(most)
-    # the sample alone is one task: it is spread again for the statistics
-    got = document_statistics(spread(cut(sample.select("doc_id", "text")))).toPandas()  # at most `most` rows
+    got = sample_statistics(docs, most)
     x = got[list(STATISTICS)].to_numpy(dtype=float).reshape(-1, len(STATISTICS))
     label = [weak_label(dict(zip(STATISTICS, row, strict=True))) for row in x]
     held = np.array([statistics(t) for _, t in CHECKED], dtype=float), [k for k, _ in CHECKED]
     keep = [i for i, v in enumerate(label) if v]
-    # every kind is known, even where the sample lacks one
-    x = np.concatenate([x[keep], held[0][::2]])
-    return Model(x, [label[i] for i in keep] + held[1][::2], (held[0][1::2], held[1][1::2]))
+    known = {label[i] for i in keep}
+    lent = [i for i, k in enumerate(held[1]) if k not in known and i % 2 == 0]
+    rest = [i for i in range(len(held[1])) if i not in set(lent)]
+    x = np.concatenate([x[keep], held[0][lent]])
+    return Model(x, [label[i] for i in keep] + [held[1][i] for i in lent], (held[0][rest], [held[1][i] for i in rest]))
+
+
+def calibration(model: Model, texts: list[tuple[str, str]]) -> dict[str, float]:
+    """Accuracy, Brier score and expected calibration error (five bins of the likeliest kind's
+    probability) over texts of known kind."""
+    p = model.probabilities(np.array([statistics(t) for _, t in texts], dtype=float))
+    truth = np.array([KINDS.index(k) for k, _ in texts])
+    said, sure = p.argmax(axis=1), p.max(axis=1)
+    hit = (said == truth).astype(float)
+    bins = np.minimum(4, (sure * 5).astype(int))
+    error = sum(abs(hit[bins == b].mean() - sure[bins == b].mean()) * (bins == b).mean() for b in range(5) if (bins == b).any())
+    return {"accuracy": float(hit.mean()), "brier": float(((p - np.eye(len(KINDS))[truth]) ** 2).sum(axis=1).mean()), "error": float(error)}
 
 
 def kinds(docs: DataFrame, model: Model | None = None) -> DataFrame:

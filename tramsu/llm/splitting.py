@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,50 +49,56 @@ def groups(rows: DataFrame, per_task: int = 250_000) -> DataFrame:
     return out.select("key", "context_id", "split", "rows", F.coalesce(tied, alone).alias("group"))
 
 
-def _largest_first(shares: dict[str, float], total: float):
-    def run(batches):
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(["size", "group"], ascending=[False, True])
-        below = {s: total * p for s, p in shares.items()}
-        chosen = []
-        for n in pdf["size"]:
-            s = max(below, key=below.get)  # ties: the split named first
-            below[s] -= n
-            chosen.append(s)
-        yield pdf.assign(new_split=chosen)[["group", "size", "new_split"]]
-
-    return run
-
-
-def assign(grouped: DataFrame, proportions: dict[str, float] | None = None, head: int = 20_000) -> DataFrame:
+def quotas(sizes: list[tuple[int, int]], shares: dict[str, float], total: int) -> list[tuple[int, dict[str, int]]]:
+    """sizes: (size, count of groups), any order. How many groups of each size every split gets if the largest group goes
+    first, and each to the split furthest below its target (ties: the split named first).
+
+    Equal groups are dealt in one step: of the values below - j * size of all splits the count greatest
+    are taken, found by halving, and the last few one by one."""
+    below = {s: Fraction(str(p)) * total for s, p in shares.items()}
+    out = []
+    for size, count in sorted(sizes, reverse=True):
+        near = {s: float(v) for s, v in below.items()}
+        low, high = min(near.values()) - size * (count + 1.0), max(near.values())
+        for _ in range(80 if count > 1 else 0):
+            level = (low + high) / 2
+            if sum(max(0, math.ceil((v - level) / size)) for v in near.values()) > count:
+                low = level
+            else:
+                high = level
+        high += 1e-6 * size  # what is this near the level is dealt one by one, exactly
+        taken = {s: max(0, math.ceil((v - high) / size)) for s, v in near.items()}
+        for s, n in taken.items():
+            below[s] -= n * size
+        for _ in range(count - sum(taken.values())):
+            s = max(below, key=below.get)
+            below[s] -= size
+            taken[s] += 1
+        out.append((size, taken))
+    return out
+
+
+def assign(grouped: DataFrame, proportions: dict[str, float] | None = None) -> DataFrame:
     """group, size, new_split: largest group first, each to the split furthest below its target.
 
-    Only the head largest groups go through that fold, in one task of at most head rows; every
-    later group is smaller than total/head, and these fill what the splits still lack in one pass
-    of a running sum over all partitions, so a share is missed by no more than one such group.
-    Ties go by the group's name. No rows give none.
+    The fold goes over sizes and how many groups have each (of N rows there are at most about the root of 2 N
+    sizes); within a size groups are alike, and the splits' quotas are handed out by rank of the
+    group's name, a running sum over all partitions. No rows give none.
     """
     shares = proportions or PROPORTIONS
     sizes = cut(grouped.groupBy("group").agg(F.sum("rows").alias("size")))
-    total = float(sizes.agg(F.sum("size")).first()[0] or 0)
-    many = sizes.count()
-    first = sizes.orderBy(F.desc("size"), "group").limit(head)
-    top = cut(first.coalesce(1).mapInPandas(_largest_first(shares, total), "group string, size long, new_split string"))
-    if many <= head:
-        return top
-    rest = sizes.join(top, "group", "left_anti").withColumn("small_first", -F.col("size"))
-    got = {r["new_split"]: r["n"] for r in top.groupBy("new_split").agg(F.sum("size").alias("n")).collect()}
-    room = {s: max(0.0, total * p - got.get(s, 0)) for s, p in shares.items()}
-    summed = running_sums(rest, ["small_first", "group"], {"upto": "size"})
-    left, upto = sum(room.values()), 0.0
-    pick = None
-    for s in shares:
-        upto += room[s]
-        pick = F.when(F.col("upto") <= upto, s) if pick is None else pick.when(F.col("upto") <= upto, s)
-    last = [s for s in shares if room[s] > 0 or left == 0][-1]
-    return top.unionByName(summed.select("group", "size", pick.otherwise(last).alias("new_split")))
+    counts = sizes.groupBy("size").agg(F.count("*").alias("n")).collect()
+    dealt = quotas([(r["size"], r["n"]) for r in counts], shares, sum(r["size"] * r["n"] for r in counts))
+    rows, names = [], list(shares)
+    for size, taken in dealt:
+        upto = 0
+        for s in names:
+            if taken[s]:
+                rows.append((size, upto, upto + taken[s], s))
+                upto += taken[s]
+    spans = grouped.sparkSession.createDataFrame(rows, "size long, low long, high long, new_split string")
+    ranked = running_sums(sizes.withColumn("one", F.lit(1).cast("long")), ["group"], {"rank": "one"}, by=("size",))
+    return ranked.join(spans, "size").where("rank > low and rank <= high").select("group", "size", "new_split")
 
 
 def keep_together(corpus: DataFrame, qa: DataFrame, proportions: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
