@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramsu.functions.text import fold_words, fold_words_of
-from tramsu.session import spread
+from tramsu.session import keep, spread
 
 #: Cells of the table of word counts. It is all that is broadcast: 5 bytes a cell, whatever the data's size.
 CELLS = 1 << 20
@@ -27,8 +27,8 @@ HOT = 1000
 DEPTH = 8
 #: Records that one group may compare with each other; a key that may have more is split into blocks of these.
 BLOCK = 4000
-#: With sampling, words kept of a longer text, about; and how much shorter than another a near copy may be.
-SAMPLE, SHORTER = 28, 0.7
+#: With sampling, pairs of words kept of a longer text, about; and how much shorter than another a near copy may be.
+SAMPLE, SHORTER = 32, 0.7
 #: Lists of a group of so many records are all short: they are merged by counting, none is set aside. Longer ones go to DivideSkip.
 SMALL = 1000
 
@@ -61,8 +61,39 @@ def capitals(text: str) -> tuple[list[str], set[str], bool]:
     return words, named, 0 < upper <= 4 * max(lower, 1)
 
 
-def cell_of(word: str) -> int:
-    return xxhash.xxh32_intdigest(word) % CELLS
+@lru_cache(maxsize=500_000)
+def hash_of(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def halvings(n: int) -> list[int]:
+    """How often the sample of a text of n words is halved: as for its own length, and for texts so much
+    longer as may still be near copies. A pair meets in the sample of the longer one."""
+    return sorted({math.floor(math.log2(max(1.0, m / SAMPLE))) for m in (n, n / SHORTER)})
+
+
+def sampled(words: list[str]) -> tuple[np.ndarray, list[int]]:
+    """Hashes of the distinct pairs of neighbouring words that stand in any of the samples of the text, and its
+    halvings. A pair is in a sample that is halved k times if the 16 bits it draws are below 2^(16 - k)."""
+    h = np.fromiter(map(hash_of, words), dtype=np.uint64, count=len(words))
+    pairs = np.unique(h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:] >> np.uint64(7)) * np.uint64(0xC2B2AE3D27D4EB4F)) if len(h) > 1 else h
+    classes = halvings(len(words))
+    return (pairs[_draw(pairs) < 0x10000 >> classes[0]] if classes[0] else pairs), classes
+
+
+def _draw(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64)
+
+
+def _count_pairs(batches):
+    total = np.zeros(CELLS, dtype=np.int64)
+    for pdf in batches:
+        for text in pdf["text"]:
+            total[np.unique(sampled(fold_words(text))[0] % np.uint64(CELLS))] += 1
+    some = np.flatnonzero(total)
+    for i in range(0, len(some), 100_000):
+        part = some[i : i + 100_000]
+        yield pd.DataFrame({"cell": part.astype(np.int32), "n": total[part], "told": np.ones(len(part), dtype=np.int64), "named": np.zeros(len(part), dtype=np.int64)})
 
 
 def _count(batches):
@@ -70,7 +101,7 @@ def _count(batches):
 
     def held():
         some = list(total)
-        cells = np.fromiter(map(cell_of, some), dtype=np.int64, count=len(some))
+        cells = np.fromiter((hash_of(w) % CELLS for w in some), dtype=np.int64, count=len(some))
         yield pd.DataFrame({"cell": cells.astype(np.int32), **{c: np.fromiter((k[w] for w in some), dtype=np.int64, count=len(some)) for c, k in (("n", total), ("told", told), ("named", named))}})
         for k in (total, told, named):
             k.clear()
@@ -88,11 +119,11 @@ def _count(batches):
     yield from held()
 
 
-def word_counts(records: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """By cell, over all records: how many hold the word, and whether it is named, which is written with a
+def word_counts(records: DataFrame, sample: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """By cell, over all records: how many hold the word (with sample: the pair of words), and whether it is named, which is written with a
     capital within sentences in at least half of the texts whose case tells (or in none of those).
     Words that share a cell share both; that costs time and may move a weight, it loses no word."""
-    cells = records.select("text").mapInPandas(_count, "cell int, n long, told long, named long").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "told", "named")])
+    cells = records.select("text").mapInPandas(_count_pairs if sample else _count, "cell int, n long, told long, named long").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "told", "named")])
     got = cells.toPandas()  # at most CELLS rows
     at = got["cell"].to_numpy(dtype=np.int64)
     counts, named = np.zeros(CELLS, dtype=np.int32), np.ones(CELLS, dtype=np.bool_)
@@ -110,24 +141,26 @@ class Signs:
 
     def _sign(self, word: str) -> tuple[int, int, int, int, int]:
         """(place, count, weight, code, draw): place is 64 bits that order words; code is 16 bits of which the first tells the weight."""
-        h = xxhash.xxh64_intdigest(word)
-        cell = cell_of(word)
-        count = max(1, int(self.counts[cell]))
-        heavy = word.isdigit() or bool(self.named[cell])
-        place = (0 if heavy else 1) << 63 | min(count, 2**31 - 1) << 32 | h & 0xFFFFFFFF
-        return place, count, NAMED if heavy else PLAIN, (0x8000 if heavy else 0) | h >> 40 & 0x7FFF, h >> 32 & 0xFFFF
-
-    def classes(self, n: int) -> list[int]:
-        """Halvings of the sample at which a text of n words is sought: its own, and that of texts so much
-        shorter or longer as may still be near copies."""
-        if not self.sample:
-            return [0]
-        return sorted({math.floor(math.log2(max(1.0, n * f / SAMPLE))) for f in (SHORTER, 1.0, 1 / SHORTER)})
+        h = hash_of(word)
+        count = max(1, int(self.counts[h % CELLS]))
+        heavy = word.isdigit() or bool(self.named[h % CELLS])
+        place = (0 if heavy else 1) << 63 | count << 32 | h & 0xFFFFFFFF
+        return place, count, NAMED if heavy else PLAIN, (0x8000 if heavy else 0) | h >> 48 & 0x7FFF, 0
+
+    def _pairs(self, hashes: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The same of pairs of words, which are all alike in weight."""
+        counts = np.maximum(self.counts[(hashes % np.uint64(CELLS)).astype(np.int64)], 1).tolist()
+        draws = _draw(hashes).tolist()
+        return [(1 << 63 | n << 32 | h & 0xFFFFFFFF, n, PLAIN, h >> 48 & 0x7FFF, d) for h, n, d in zip(hashes.tolist(), counts, draws, strict=True)]
 
     def rows(self, words: list[str]) -> Iterator[tuple[list[tuple[int, int]], bytes, int]]:
         """(keys, each with the most records that may share it; codes of the words in order; weight of all)."""
-        signs = sorted(map(self.sign, set(words)))
-        for c in self.classes(len(words)):
+        if self.sample:
+            hashes, classes = sampled(words)
+            signs = sorted(self._pairs(hashes))
+        else:
+            signs, classes = sorted(map(self.sign, set(words))), [0]
+        for c in classes:
             own = [s for s in signs if s[4] < 0x10000 >> c] if c else signs
             total = sum(s[2] for s in own)
             codes = np.fromiter((s[3] for s in own), dtype=np.uint16, count=len(own)).tobytes()
@@ -156,27 +189,25 @@ class Signs:
             slack -= weight
 
 
-def _keyed(held, n: int, share: float, sample: bool):
+SIGNED = "rid long, side int, part int, total int, codes binary, keys array<long>, cells array<long>"
+
+
+def _signed(held, n: int, share: float, sample: bool):
     def run(batches):
         signs = Signs(*held.value, n, share, sample)
-        names = ["key", "cell", "rid", "side", "total", "codes"]
+        names = ["rid", "side", "part", "total", "codes", "keys", "cells"]
         for pdf in batches:
             cols: list[list] = [[] for _ in names]
             for rid, text, side in zip(pdf["rid"].tolist(), pdf["text"].tolist(), pdf["side"].tolist(), strict=True):
-                for keys, codes, total in signs.rows(fold_words(text)):
-                    for key, most in keys:
+                for part, (found, codes, total) in enumerate(signs.rows(fold_words(text))):
+                    keys, cells = [], []
+                    for key, most in found:
                         blocks = -(-most // BLOCK)
                         own = rid % blocks
-                        for b in range(blocks):
-                            cols[0].append(key)
-                            cols[1].append(min(own, b) * blocks + max(own, b))
-                            cols[2].append(rid)
-                            cols[3].append(side)
-                            cols[4].append(total)
-                            cols[5].append(codes)
-                if len(cols[0]) > 20_000:
-                    yield pd.DataFrame(dict(zip(names, cols, strict=True)))
-                    cols = [[] for _ in names]
+                        keys.extend([key] * blocks)
+                        cells.extend([min(own, b) * blocks + max(own, b) for b in range(blocks)])
+                    for c, v in zip(cols, (rid, side, part, total, codes, keys, cells), strict=True):
+                        c.append(v)
             yield pd.DataFrame(dict(zip(names, cols, strict=True)))
 
     return run
@@ -350,17 +381,27 @@ def sharing(records: DataFrame, share: float, sample: bool = False) -> DataFrame
     either text, where the words before it weigh no more than may be missing: these words are keys, and records
     meet by key (prefix filter). A key that many records share is extended by the next common word, for which
     what may still be missing leaves fewer places, and so on up to DEPTH words; no pair is lost by
-    that. Within a group inverted lists are searched by DivideSkip for those that reach the overlap. A key of more than
+    that. Where records stand on one side only, keys without records of both sides are dropped. Within a group inverted lists are searched by DivideSkip for those that reach the overlap. A key of more than
     BLOCK records makes several groups (blocks against blocks). Codes of 16 bits stand for words
     within groups; two words with one code can only add candidates.
 
-    With sample, texts of more than SAMPLE words are sought by a share of their words, a half, a quarter and so on, that hashing draws, the
-    same words in all texts; a text near the bound of two shares is sought by both.
+    With sample, pairs of neighbouring words stand for words, all of one weight, and of a text of more than SAMPLE words a
+    share, a half, a quarter and so on, that hashing draws, the same pairs in all texts; a text near the
+    bound of two shares is sought by both.
     """
     records = spread(records)
     n = records.count()
-    held = records.sparkSession.sparkContext.broadcast(word_counts(records))
+    held = records.sparkSession.sparkContext.broadcast(word_counts(records, sample))
     side = (F.col("left").cast("int") + 2 * F.col("right").cast("int")).alias("side")
-    rows = records.select("rid", "text", side).mapInPandas(_keyed(held, n, share, sample), "key long, cell long, rid long, side int, total int, codes binary")
+    signed = records.select("rid", "text", side).mapInPandas(_signed(held, n, share, sample), SIGNED)
+    met = F.explode(F.arrays_zip("keys", "cells")).alias("met")
+    if records.where("not (left and right)").isEmpty():
+        rows = signed.select("rid", "side", "total", "codes", met).select("met.keys", "met.cells", "rid", "side", "total", "codes")
+    else:  # keys that one side alone has lead nowhere: they go before the codes are sent along
+        signed = keep(signed)
+        slim = signed.select("rid", "side", "part", "total", met).select("met.keys", "met.cells", "rid", "side", "part", "total")
+        shared = slim.groupBy("keys", "cells").agg(F.bit_or("side").alias("sides")).where("sides = 3").select("keys", "cells")
+        rows = slim.join(shared, ["keys", "cells"], "left_semi").join(signed.select("rid", "part", "codes"), ["rid", "part"]).select("keys", "cells", "rid", "side", "total", "codes")
+    rows = rows.withColumnsRenamed({"keys": "key", "cells": "cell"})
     near = rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
     return near.mapInPandas(_search(share), "x long, y long").distinct()
