@@ -97,7 +97,7 @@ def test_clean(spark):
     cases = [
         ("năm 1945", "LOC", None, None), ("ông", "PER", None, None), (", Trần Hưng", "PER", "Trần Hưng", "PER"), ("Vua Lê Lợi", "LOC", "Lê Lợi", "PER"),
         ("sông Hồng Hà", "LOC", "Hồng Hà", "LOC"), ("Pháp chiếm Huế", "LOC", None, None), ("##abc", "PER", None, None), ("Hồi giáo Ả Rập", "ORG", None, None),
-        ("1945", "YEAR", "1945", "YEAR"), ("Nguyễn Huệ", "PER", "Nguyễn Huệ", "PER"), ("", "PER", None, None),
+        ("1945", "YEAR", "1945", "YEAR"), ("Nguyễn Huệ", "PER", "Nguyễn Huệ", "PER"), ("", "PER", None, None), ("Mỹ", "LOC", "Mỹ", "LOC"), ("Lào", "LOC", "Lào", "LOC"), ("Xyz", "LOC", None, None),
     ]
     got = spans.clean(spark.createDataFrame([c[:2] for c in cases], "surface string, type string")).collect()
     for (s, t, want, kind), r in zip(cases, got, strict=True):
@@ -235,6 +235,67 @@ def test_best_is_optimal(spark):
         assert abs(sum(x["score"] for x in got) - max(totals, default=0)) < 1e-9
 
 
+def test_shortlist_keeps_what_titles_need(spark):
+    cols = "item_id string, bloom string, context_id string, title string, score double"
+    rows = [("x2", "thong_hieu", "cx", "X", 0.1), ("x1", "thong_hieu", "cy", "X", 0.05)]
+    rows += [(f"r{i}", "thong_hieu", f"c{i}", f"T{i}", 0.95) for i in range(9)] + [("n", "nhan_biet", "cn", "N", 0.9)]
+    t = {"nhan_biet": 1, "thong_hieu": 1}
+    got = {r["item_id"] for r in exam.best(spark.createDataFrame(rows, cols), 2, t, slack=0).collect()}
+    assert got == {"x2", "n"}
+    # null is no title that has to be covered
+    rows = [("a", "nhan_biet", "c1", None, 0.1), ("b", "nhan_biet", "c2", None, 0.2), ("c", "nhan_biet", "c3", "T", 0.9)]
+    assert [r["item_id"] for r in exam.best(spark.createDataFrame(rows, cols), 1, {"nhan_biet": 1}, slack=0).collect()] == ["c"]
+
+
+@pytest.mark.parametrize("per_context", [1, 2])
+def test_best_over_banks_larger_than_the_shortlist(spark, per_context):
+    from itertools import combinations
+
+    rng = random.Random(17)
+    for _ in range(3):
+        rows = [(f"i{i:02d}", rng.choice(exam.LEVELS[:2]), f"c{rng.randrange(12)}", None, round(rng.random(), 3)) for i in range(40)]
+        rows = [(a, b, c, rng.choice(["A", "B", "C"]) if int(c[1:]) > 1 else None, s) for a, b, c, _, s in rows]
+        home = {}
+        for _, _, c, title, _ in rows:
+            home[c] = min(x for x in (home.get(c), title) if x) if home.get(c) or title else None
+        titles = [home[r[2]] for r in rows]
+        many = {x for x in titles if x and titles.count(x) > 1}
+        df = spark.createDataFrame(rows, "item_id string, bloom string, context_id string, title string, score double")
+
+        def fine(s):
+            places = [r[2] for r in s]
+            if max(map(places.count, places)) > per_context or abs(sum(r[1] == "nhan_biet" for r in s) - 2) > 1 or abs(sum(r[1] == "thong_hieu" for r in s) - 1) > 1:
+                return False
+            return len(many) > 3 or many <= {home[r[2]] for r in s}
+
+        want = max((sum(r[4] for r in s) for s in combinations(rows, 3) if fine(s)), default=0)
+        got = exam.best(df, 3, {"nhan_biet": 2, "thong_hieu": 1}, per_context=per_context, slack=1).collect()
+        assert abs(sum(r["score"] for r in got) - want) < 1e-9
+        assert exam.shortlist(df, 3, per_context).count() < 40
+
+
+def test_overlapping_times():
+    text = "Từ 12/5/1802 đến năm 1805 TCN? thế kỷ 19, ngày 1 tháng 2 năm 1930; 1931-1932"
+    got = spans.temporal_spans(text)
+    assert [(x, k, v) for x, k, v, _, _ in got] == [
+        ("12/5/1802", "DATE", "1802-05-12"), ("năm 1805", "YEAR", "-1805"), ("thế kỷ 19", "CENTURY", "19"), ("ngày 1 tháng 2 năm 1930", "DATE", "1930-02-01"),
+        ("1931", "YEAR", "1931"), ("1932", "YEAR", "1932"),
+    ]
+    assert all(text[s:e] == x for x, _, _, s, e in got)
+
+
+def test_entities_of_a_tagger_with_offsets(spark):
+    p = spark.createDataFrame([("c", "Năm 1802, Vua Lê Lợi đến Nga.", True)], "context_id string, context string, is_vietnam boolean")
+    tagged = spark.createDataFrame(
+        [("c", "PERSON", "Vua Lê Lợi", None, None), ("c", "LOCATION", "Nga", 25, 28), ("c", "MISC", "x", 1, 2), ("c", "PER", " ", 1, 2), ("c", "ORG", "Vắng Mặt", None, None)],
+        "context_id string, label string, word string, start int, end int",
+    )
+    entities, pool = spans.extract_entities(p, tagged)
+    got = {(r["surface"], r["type"], r["normalized"], r["char_start"], r["bucket"]) for r in entities.collect()}
+    assert got == {("Năm 1802"[4:], "YEAR", "1802", 4, "19C"), ("Lê Lợi", "PER", "lê_lợi", 10, "VN"), ("Nga", "LOC", "nga", 25, "VN"), ("Vắng Mặt", "ORG", "vắng_mặt", None, "VN")}
+    assert pool.count() == 4
+
+
 def test_eda_edges(spark):
     df = spark.createDataFrame([(1,), (1,), (5,)], "x int")
     assert [(r["bin"], r["n"]) for r in eda.histogram(df, "x", 4).orderBy("bin").collect()] == [(0, 2), (3, 1)]

@@ -27,13 +27,25 @@ def usable(bank: DataFrame) -> DataFrame:
 
 
 def shortlist(items: DataFrame, k: int, per_context: int) -> DataFrame:
-    """Items that any best selection can be had from: of each context and level the per_context
-    best, and of these the k x per_context best of each level and of each title's first. At most
-    k x (per_context x levels) + titles rows matter to a selection of k, whatever the bank's size."""
+    """Items among which there is a best selection of k, with must: whether their title has to be covered. A context belongs to
+    its least title. Titles of two items or more must be covered, if they are no more than k; null is no title.
+
+    Kept are, of the per_context best of each context and level, the 2 k best of each level and the best of each level of
+    each title that must be covered. That is enough: a selected item outside of it that is not its title's only one has
+    2 k better ones of its level, of which at most k - 1 are selected and as many again stand in
+    contexts that are full; the only one of its title can give way to that title's best of the level, as none of that
+    title's contexts has another. So there are at most 3 k x levels rows, whatever the bank's size."""
     by = lambda *c: Window.partitionBy(*c).orderBy(F.desc("score"), "item_id")
-    first = items.withColumn("r", F.row_number().over(by("context_id", "bloom"))).where(F.col("r") <= per_context)
-    ranked = first.withColumns({"of_level": F.row_number().over(by("bloom")), "of_title": F.row_number().over(by("title"))})
-    return ranked.where((F.col("of_level") <= k * (per_context + 2)) | (F.col("of_title") <= per_context)).drop("r", "of_level", "of_title")
+    home = items.groupBy(F.col("context_id").alias("place")).agg(F.min("title").alias("home"))
+    placed = items.drop("title").join(home, F.col("context_id").eqNullSafe(F.col("place"))).withColumnRenamed("home", "title").drop("place")
+    many = placed.where("title is not null").groupBy("title").agg(F.count("*").alias("n")).where("n > 1").select("title")
+    some = many.limit(k + 1)  # one more than may be covered tells that none has to be
+    must = some.join(some.agg(F.count("*").alias("titles")), F.col("titles") <= k).select("title", F.lit(True).alias("must"))
+    first = placed.withColumn("r", F.row_number().over(by("context_id", "bloom"))).where(F.col("r") <= per_context).drop("r")
+    cols = ["item_id", "bloom", "context_id", "title", "score"]
+    of_level = first.withColumn("r", F.row_number().over(by("bloom"))).where(F.col("r") <= 2 * k).select(*cols)
+    of_title = first.join(must, "title", "left_semi").withColumn("r", F.row_number().over(by("title", "bloom"))).where("r = 1").select(*cols)
+    return of_level.union(of_title).distinct().join(must, "title", "left").select(*cols, F.coalesce("must", F.lit(False)).alias("must"))
 
 
 def greedy(items: DataFrame, k: int, target: dict[str, int], per_context: int = 2) -> DataFrame:
@@ -57,7 +69,7 @@ def greedy(items: DataFrame, k: int, target: dict[str, int], per_context: int =
                 context[row.context_id] = context.get(row.context_id, 0) + 1
         yield pdf.loc[taken]
 
-    return shortlist(items, k, per_context).coalesce(1).mapInPandas(fold, "item_id string, bloom string, context_id string, title string, score double")
+    return shortlist(items, k, per_context).drop("must").coalesce(1).mapInPandas(fold, "item_id string, bloom string, context_id string, title string, score double")
 
 
 def at_random(items: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -138,10 +150,11 @@ def best(items: DataFrame, k: int, target: dict[str, int], per_context: int = 2,
         if not frames:
             return
         pdf = pd.concat(frames, ignore_index=True).sort_values("item_id", ignore_index=True)
-        pdf["title"] = pdf.groupby("context_id")["title"].transform("min")
-        levels, contexts, titles = sorted(pdf["bloom"].unique()), sorted(pdf["context_id"].unique()), sorted(pdf["title"].fillna("").unique())
-        must = [t for t, g in pdf.fillna({"title": ""}).groupby("title") if len(g) > 1]
-        must = set(must) if len(must) <= k else set()
+        asked = pdf.drop(columns="must")
+        for c in ("context_id", "title"):  # none is not the empty one
+            pdf[c] = [(isinstance(v, str), v if isinstance(v, str) else "") for v in pdf[c]]
+        levels, contexts, titles = sorted(pdf["bloom"].unique()), sorted(set(pdf["context_id"])), sorted(set(pdf["title"]))
+        must = set(pdf.loc[pdf["must"], "title"])
         n0 = 1 + len(levels)
         node_c = {c: n0 + 2 * len(pdf) + i for i, c in enumerate(contexts)}
         node_t = {t: n0 + 2 * len(pdf) + len(contexts) + i for i, t in enumerate(titles)}
@@ -160,7 +173,7 @@ def best(items: DataFrame, k: int, target: dict[str, int], per_context: int = 2,
             flow.arc(1 + levels.index(row.bloom), a, 1, 0.0)
             arcs.append(flow.arc(a, b, 1, -row.score))
             flow.arc(b, node_c[row.context_id], 1, 0.0)
-        for c, t in pdf.fillna({"title": ""}).groupby("context_id")["title"].first().items():
+        for c, t in dict(zip(pdf["context_id"], pdf["title"], strict=True)).items():
             flow.arc(node_c[c], node_t[t], per_context, 0.0)
         for t in titles:
             if t in must:
@@ -168,7 +181,7 @@ def best(items: DataFrame, k: int, target: dict[str, int], per_context: int = 2,
             flow.arc(node_t[t], end, k, 0.0)
         sent = flow.push(0, end, k)
         feasible = sent == k and all(flow.cap[e] == 0 for e in force)
-        yield pdf[[feasible and flow.cap[e] == 0 for e in arcs]]
+        yield asked[[feasible and flow.cap[e] == 0 for e in arcs]]
 
     return shortlist(items, k, per_context).coalesce(1).mapInPandas(solve, "item_id string, bloom string, context_id string, title string, score double")
 
@@ -184,6 +197,12 @@ def statistics(selected: DataFrame, target: DataFrame) -> DataFrame:
     return target.join(n, "level", "left").select("level", F.coalesce("n", F.lit(0)).alias("n"), "target", (F.abs(F.coalesce("n", F.lit(0)) - F.col("target")) <= 1).alias("near"))
 
 
+def method_counts(selected: DataFrame, bank: DataFrame) -> DataFrame:
+    """method, n, titles: how many selected items come from each method, and how many titles these cover."""
+    of = bank.groupBy("item_id").agg(F.min("method").alias("method"))
+    return selected.join(of, "item_id").groupBy("method").agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles"))
+
+
 def compare(selections: dict[str, DataFrame], base: str) -> DataFrame:
     """strategy, n, score, avg_score, gain_pct over the base's score, one decimal."""
     all_ = None

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramsu.functions import normalize as N
 from tramsu.operators.ordered import running_sums
+from tramsu.session import cut
 
 #: The checks in order with their weights, and the bounds of the verdict.
 WEIGHTS = {
@@ -91,23 +94,47 @@ def position_balance(items: DataFrame, order: list[str], key: str = "answer_key"
     return done.unionByName(rest)
 
 
+def _sketch() -> dict[str, Column]:
+    """Four times 64 bits: of each bit, whether an odd number of the grams falls to it. Two sketches differ in no
+    more bits than there are grams that only one set has."""
+    return {f"s{w}": F.expr(f"aggregate(g, 0L, (a, v) -> a ^ if(pmod(v, 256L) div 64 = {w}, shiftleft(1L, cast(pmod(v, 64L) as int)), 0L))") for w in range(4)}
+
+
 def similar_questions(items: DataFrame, order: str, least: float = 0.85) -> DataFrame:
     """item, earlier, similarity: the most similar earlier question by Jaccard over character
-    trigrams, where it reaches least. Exact: pairs that reach it share one of the rarest trigrams
-    (prefix filter), and are compared whole. items: item_id, question and the order column."""
-    t = items.select("item_id", F.col(order).alias("pos"), N.trigrams(F.lower(F.col("question"))).alias("g")).where("size(g) > 0")
-    rows = t.select("item_id", "pos", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    df = rows.groupBy("gram").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("item_id", "pos").orderBy("df", "gram"))
-    keys = rows.join(df, "gram").withColumn("r", rank).where(F.col("r") <= F.floor((1 - least) * F.col("n") + 1e-9) + 1).where("df > 1")
-    a = keys.select("gram", F.col("item_id").alias("item"), F.col("pos").alias("p"), "n")
-    b = keys.select("gram", F.col("item_id").alias("earlier"), F.col("pos").alias("q"), F.col("n").alias("m"))
-    cand = a.join(b, "gram").where((F.col("q") < F.col("p")) & (F.col("m") >= least * F.col("n") - 1e-9) & (F.col("n") >= least * F.col("m") - 1e-9)).select("item", "p", "earlier", "q").distinct()
-    ga = t.select(F.col("item_id").alias("item"), F.col("pos").alias("p"), F.col("g").alias("ga"))
-    gb = t.select(F.col("item_id").alias("earlier"), F.col("pos").alias("q"), F.col("g").alias("gb"))
-    full = cand.join(ga, ["item", "p"]).join(gb, ["earlier", "q"]).withColumn("similarity", F.round(N.jaccard(F.col("ga"), F.col("gb")), 6)).where(F.col("similarity") >= least)
-    best = full.groupBy("item").agg(F.max("similarity").alias("similarity"))
-    return full.join(best, ["item", "similarity"]).groupBy("item", "similarity").agg(F.min("earlier").alias("earlier"))
+    trigrams, where it reaches least (ties: the least item). items: item_id, question and the order column;
+    of items with the same trigrams the first in order stands for all.
+
+    Exact. Two sets that reach least differ in at most d grams, a number that their sizes bound. Grams are dealt by hash to
+    d + 1 parts, of which at least one is the same in both sets, and texts are joined by whole parts. Sizes fall into
+    classes, and the number of parts is that of the larger one's class. Before texts are compared, their
+    parity sketches must differ in no more than d bits."""
+    span = (1 - least) / (1 + least)
+    grams = F.array_sort(F.array_distinct(F.transform(N.trigrams(F.lower(F.col("question"))), lambda x: F.xxhash64(x))))
+    t = cut(items.select("item_id", F.col(order).alias("pos"), grams.alias("g")).where("size(g) > 0").withColumn("sig", F.xxhash64("g")))
+    texts = t.groupBy("sig").agg(F.min(F.struct("pos", "item_id")).alias("m"), F.first("g").alias("g")).select("sig", F.col("m.pos").alias("pos"), F.col("m.item_id").alias("item"), "g", F.size("g").alias("n"))
+    texts = cut(texts.withColumns(_sketch()))
+    again = t.join(texts.select("sig", F.col("item").alias("earlier")), "sig").where("item_id <> earlier")
+    again = again.select(F.col("item_id").alias("item"), F.lit(1.0).alias("similarity"), "earlier").distinct()
+    own = F.floor(F.round(F.log("n") / -math.log(least), 9)).cast("int")
+    parts = (F.floor(2 * span * F.pow(F.lit(1 / least), F.col("c") + 1)) + 1).cast("int")
+    keyed = texts.withColumn("c", F.explode(F.array(own, own + 1))).withColumn("parts", parts)
+    part = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64(F.col("c"), k, F.filter("g", lambda v: F.pmod(v, F.col("parts")) == k)))
+    keyed = keyed.select("sig", "item", "pos", "n", *[f"s{w}" for w in range(4)], F.explode(part).alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    differ = None
+    for w in range(4):
+        bits = F.bit_count(F.col(f"a.s{w}").bitwiseXOR(F.col(f"b.s{w}")))
+        differ = bits if differ is None else differ + bits
+    met = a.join(b, F.col("a.key") == F.col("b.key")).where(
+        (F.struct("b.pos", "b.item") < F.struct("a.pos", "a.item")) & (F.col("b.n") >= least * F.col("a.n") - 1e-9) & (F.col("a.n") >= least * F.col("b.n") - 1e-9)
+        & (differ <= span * (F.col("a.n") + F.col("b.n")) + 1e-9)
+    )
+    cand = met.select(F.col("a.sig").alias("x"), F.col("b.sig").alias("y")).distinct()
+    full = cand.join(texts.select(F.col("sig").alias("x"), "item", F.col("g").alias("ga")), "x").join(texts.select(F.col("sig").alias("y"), F.col("item").alias("earlier"), F.col("g").alias("gb")), "y")
+    near = full.withColumn("similarity", F.round(N.jaccard(F.col("ga"), F.col("gb")), 6)).where(F.col("similarity") >= least)
+    best = near.groupBy("item").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "earlier")).alias("m"))
+    return again.unionByName(best.select("item", (-F.col("m.far")).alias("similarity"), F.col("m.earlier").alias("earlier")))
 
 
 def verdict(items: DataFrame) -> DataFrame:

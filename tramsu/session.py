@@ -26,7 +26,8 @@ def local_session(cores: str | int = 8, shuffle: int | None = None, memory: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; set one of our own only where that is unset (tests)."""
+    """Use the folder in spark.checkpoint.dir; set one of our own only where that is unset and
+    the master is local (tests); on a cluster its absence is an error, not a folder of one machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -34,6 +35,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
         return
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     own = tempfile.mkdtemp(prefix="tramsu-checkpoint-")
     atexit.register(shutil.rmtree, own, True)
     sc.setCheckpointDir(own)
