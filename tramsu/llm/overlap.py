@@ -135,8 +135,8 @@ def word_counts(records: DataFrame, sample: bool = False) -> tuple[np.ndarray, n
 class Signs:
     """What records are found by: their words in the one order, named and rare ones first, and keys of one word or more."""
 
-    def __init__(self, counts: np.ndarray, named: np.ndarray, n: int, share: float, sample: bool):
-        self.counts, self.named, self.n, self.share, self.sample = counts, named, max(n, 1), share, sample
+    def __init__(self, counts: np.ndarray, named: np.ndarray, n: int, share: float, sample: bool, hot: int | None = None):
+        self.counts, self.named, self.n, self.share, self.sample, self.hot = counts, named, max(n, 1), share, sample, hot or HOT
         self.sign = lru_cache(maxsize=500_000)(self._sign)
 
     def _sign(self, word: str) -> tuple[int, int, int, int, int]:
@@ -180,7 +180,7 @@ class Signs:
                 k = (key * 0x9E3779B97F4A7C15 ^ place) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF
                 k ^= k >> 29
                 e = min(float(count), expected / 2)  # words that come together do so more often than by chance
-                if e > HOT and depth < DEPTH:
+                if e > self.hot and depth < DEPTH:
                     if common + weight >= need:
                         out.append((k - 0x8000000000000000, min(most, count)))
                     self._keys(own, i + 1, slack, common + weight, need, k, e, min(most, count), depth + 1, out)
@@ -192,9 +192,9 @@ class Signs:
 SIGNED = "rid long, side int, part int, total int, codes binary, keys array<long>, cells array<long>"
 
 
-def _signed(held, n: int, share: float, sample: bool):
+def _signed(held, n: int, share: float, sample: bool, hot: int | None):
     def run(batches):
-        signs = Signs(*held.value, n, share, sample)
+        signs = Signs(*held.value, n, share, sample, hot)
         names = ["rid", "side", "part", "total", "codes", "keys", "cells"]
         for pdf in batches:
             cols: list[list] = [[] for _ in names]
@@ -369,7 +369,7 @@ def _search(share: float):
     return run
 
 
-def sharing(records: DataFrame, share: float, sample: bool = False) -> DataFrame:
+def sharing(records: DataFrame, share: float, sample: bool = False, hot: int | None = None) -> DataFrame:
     """records: rid (long, unique), text, left, right (booleans). Returns x < y: each unordered pair
     of records, one left and the other right, of which the common words weigh at least share of the heavier one's words.
 
@@ -380,7 +380,7 @@ def sharing(records: DataFrame, share: float, sample: bool = False) -> DataFrame
     Words are ordered, named and rare ones first. The first common word of such a pair stands, in
     either text, where the words before it weigh no more than may be missing: these words are keys, and records
     meet by key (prefix filter). A key that many records share is extended by the next common word, for which
-    what may still be missing leaves fewer places, and so on up to DEPTH words; no pair is lost by
+    what may still be missing leaves fewer places, and so on up to DEPTH words (from hot records on, HOT if not given: a matter of cost); no pair is lost by
     that. Where records stand on one side only, keys without records of both sides are dropped. Within a group inverted lists are searched by DivideSkip for those that reach the overlap. A key of more than
     BLOCK records makes several groups (blocks against blocks). Codes of 16 bits stand for words
     within groups; two words with one code can only add candidates.
@@ -393,7 +393,7 @@ def sharing(records: DataFrame, share: float, sample: bool = False) -> DataFrame
     n = records.count()
     held = records.sparkSession.sparkContext.broadcast(word_counts(records, sample))
     side = (F.col("left").cast("int") + 2 * F.col("right").cast("int")).alias("side")
-    signed = records.select("rid", "text", side).mapInPandas(_signed(held, n, share, sample), SIGNED)
+    signed = records.select("rid", "text", side).mapInPandas(_signed(held, n, share, sample, hot), SIGNED)
     met = F.explode(F.arrays_zip("keys", "cells")).alias("met")
     if records.where("not (left and right)").isEmpty():
         rows = signed.select("rid", "side", "total", "codes", met).select("met.keys", "met.cells", "rid", "side", "total", "codes")
