@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tramsu.functions.text import fold_words, fold_words_of
-from tramsu.session import keep, spread
+from tramsu.session import spread
 
 #: Cells of the table of word counts. It is all that is broadcast: 5 bytes a cell, whatever the data's size.
 CELLS = 1 << 20
@@ -189,24 +189,24 @@ class Signs:
             slack -= weight
 
 
-SIGNED = "rid long, side int, part int, total int, codes binary, keys array<long>, cells array<long>"
+SIGNED = "rid long, side int, total int, codes binary, keys array<long>, cells array<long>"
 
 
 def _signed(held, n: int, share: float, sample: bool, hot: int | None):
     def run(batches):
         signs = Signs(*held.value, n, share, sample, hot)
-        names = ["rid", "side", "part", "total", "codes", "keys", "cells"]
+        names = ["rid", "side", "total", "codes", "keys", "cells"]
         for pdf in batches:
             cols: list[list] = [[] for _ in names]
             for rid, text, side in zip(pdf["rid"].tolist(), pdf["text"].tolist(), pdf["side"].tolist(), strict=True):
-                for part, (found, codes, total) in enumerate(signs.rows(fold_words(text))):
+                for found, codes, total in signs.rows(fold_words(text)):
                     keys, cells = [], []
                     for key, most in found:
                         blocks = -(-most // BLOCK)
                         own = rid % blocks
                         keys.extend([key] * blocks)
                         cells.extend([min(own, b) * blocks + max(own, b) for b in range(blocks)])
-                    for c, v in zip(cols, (rid, side, part, total, codes, keys, cells), strict=True):
+                    for c, v in zip(cols, (rid, side, total, codes, keys, cells), strict=True):
                         c.append(v)
             yield pd.DataFrame(dict(zip(names, cols, strict=True)))
 
@@ -381,7 +381,7 @@ def sharing(records: DataFrame, share: float, sample: bool = False, hot: int | N
     either text, where the words before it weigh no more than may be missing: these words are keys, and records
     meet by key (prefix filter). A key that many records share is extended by the next common word, for which
     what may still be missing leaves fewer places, and so on up to DEPTH words (from hot records on, HOT if not given: a matter of cost); no pair is lost by
-    that. Where records stand on one side only, keys without records of both sides are dropped. Within a group inverted lists are searched by DivideSkip for those that reach the overlap. A key of more than
+    that. Within a group inverted lists are searched by DivideSkip for those that reach the overlap. A key of more than
     BLOCK records makes several groups (blocks against blocks). Codes of 16 bits stand for words
     within groups; two words with one code can only add candidates.
 
@@ -395,13 +395,6 @@ def sharing(records: DataFrame, share: float, sample: bool = False, hot: int | N
     side = (F.col("left").cast("int") + 2 * F.col("right").cast("int")).alias("side")
     signed = records.select("rid", "text", side).mapInPandas(_signed(held, n, share, sample, hot), SIGNED)
     met = F.explode(F.arrays_zip("keys", "cells")).alias("met")
-    if records.where("not (left and right)").isEmpty():
-        rows = signed.select("rid", "side", "total", "codes", met).select("met.keys", "met.cells", "rid", "side", "total", "codes")
-    else:  # keys that one side alone has lead nowhere: they go before the codes are sent along
-        signed = keep(signed)
-        slim = signed.select("rid", "side", "part", "total", met).select("met.keys", "met.cells", "rid", "side", "part", "total")
-        shared = slim.groupBy("keys", "cells").agg(F.bit_or("side").alias("sides")).where("sides = 3").select("keys", "cells")
-        rows = slim.join(shared, ["keys", "cells"], "left_semi").join(signed.select("rid", "part", "codes"), ["rid", "part"]).select("keys", "cells", "rid", "side", "total", "codes")
-    rows = rows.withColumnsRenamed({"keys": "key", "cells": "cell"})
+    rows = signed.select("rid", "side", "total", "codes", met).select(F.col("met.keys").alias("key"), F.col("met.cells").alias("cell"), "rid", "side", "total", "codes")
     near = rows.repartition("key", "cell").sortWithinPartitions("key", "cell")
     return near.mapInPandas(_search(share), "x long, y long").distinct()
