@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tramsu.operators import corpus, decide, eda, exam, items, retrieve, spans, verify
+from tramsu.operators import corpus, decide, eda, exam, items, retrieve, spans, survey, verify
 from tramsu.operators.graph import connected_components, forest
 from tramsu.operators.ordered import running_sums
 
@@ -319,3 +319,76 @@ def test_models(spark):
     m = models.train_level_classifier(train, "t", "y0", 500)
     rep = models.class_report(models.predict_level(m, train, "t"), "y0", "predicted").collect()
     assert all(r["f1"] == 1.0 for r in rep)
+
+
+def test_questions_by_template(spark):
+    df = spark.createDataFrame(
+        [("thoi_gian", "Lê Lợi", True, 1), ("thoi_gian", "Trận Bến Cũ", False, 4), ("nhan_vat", "Thành Mới", False, 2), ("lạ", "Đèo Cao", None, 0)],
+        "wh string, subj string, person boolean, draw long",
+    )
+    q = items.build_question(F.col("wh"), F.col("subj"), F.lit("chỉ huy"), F.coalesce("person", F.lit(False)), F.col("draw"))
+    assert [r[0] for r in df.select(q).collect()] == ["Lê Lợi qua đời năm nào?", "Trận Bến Cũ xảy ra vào năm nào?", "Thành Mới do ai chỉ huy?", "Đèo Cao là gì?"]
+    df = spark.createDataFrame([("T", "x", "Ông chỉ huy, rồi cai trị."), ("", "Vua Hùng, dựng nước", "Ông ký kếtx"), (None, None, None)], "title string, context string, sentence string")
+    got = df.select(items.subject(F.col("title"), F.col("context")), items.verb_of(F.col("sentence"))).collect()
+    assert [tuple(r) for r in got] == [("T", "chỉ huy"), ("Vua Hùng", "thực hiện"), ("", "thực hiện")]
+
+
+def test_person_passages_and_famous_years(spark):
+    p = spark.createDataFrame([("c", "Tiểu sử LÊ LỢI"), ("d", None), ("e", "Bến Cũ")], "context_id string, title string")
+    e = spark.createDataFrame([("c", "PER", "Lê Lợi"), ("d", "PER", "Lê Lợi"), ("e", "LOC", "Bến Cũ"), ("e", "PER", None)], "context_id string, type string, surface string")
+    assert {tuple(r) for r in items.about_persons(p, e).collect()} == {("c", True), ("d", False)}
+    pool = items.distractor_pool(spark.createDataFrame([("YEAR", "3C", "năm 250"), ("YEAR", "20C", "1945")], "type string, bucket string, surface string"))
+    a = spark.createDataFrame([("k", "YEAR", "3C", "năm 250"), ("m", "YEAR", "20C", "1945"), ("p", "PER", "VN", "Ai")], "key string, type string, bucket string, surface string")
+    got = {r["key"]: r["distractors"] for r in items.distractors(a, pool).collect()}
+    assert len(set(got["k"])) == 3 and set(got["k"]) <= set(items.FAMOUS_YEARS)
+    assert len(set(got["m"])) == 3 and "1945" not in got["m"] and got["p"] == []
+
+
+def test_alternatives_of_a_model_and_of_the_passage(spark):
+    rows = [
+        ("a", "Ai?", "Huế", "Hà Nội | huế cũ | Hà Nội | xa | sông | Sài Gòn | Đà Nẵng | Cần Thơ", ""), ("b", "Ai?", "Huế", "Hà Nội, và. Cần Thơ", "Ở Sài Gòn năm 1802 và Huế Xưa, Vua Minh Mạng đến Hà Nội."),
+        ("c", " ", "Huế", None, None), ("d", "Ai?", "Huế", "", "không có gì"),
+    ]
+    df = spark.createDataFrame(rows, "key string, question string, answer string, output string, context string")
+    got = {r["key"]: (r["distractors"], r["skipped"]) for r in items.finish_alternatives(df).collect()}
+    assert got["a"] == (["Hà Nội", "Sài Gòn", "Đà Nẵng"], None)
+    assert got["b"] == (["Hà Nội", "Cần Thơ", "Sài Gòn"], None)
+    assert got["c"] == ([], "empty_question") and got["d"] == ([], "few_distractors")
+    n = survey.skip_counters(items.finish_alternatives(df))
+    assert {tuple(r) for r in n.collect()} == {("empty_question", 1), ("few_distractors", 1)}
+
+
+def test_survey_and_totals(spark):
+    titles = spark.createDataFrame([("Nhà Nguyễn",), ("Bóng đá",), (None,), ("Chiến tranh lạnh",)], "title string")
+    assert [r[0] for r in titles.select(survey.guess_history(F.col("title"))).collect()] == [True, False, False, True]
+    n = spark.createDataFrame([(1500,), (1499,), (800,), (799,), (None,)], "n int")
+    assert [r[0] for r in n.select(survey.go_no_go(F.col("n"))).collect()] == ["go", "conditional", "conditional", "no_go", "no_go"]
+    calls = spark.createDataFrame([("m", 1000, 500), ("m", None, 500), ("x", 1, 1)], "model string, prompt_tokens long, completion_tokens long")
+    prices = spark.createDataFrame([("m", 0.15, 0.6)], "model string, prompt_price double, completion_price double")
+    got = {r["model"]: (r["n_calls"], r["prompt_tokens"], r["cost"]) for r in survey.call_totals(calls, prices).collect()}
+    assert got == {"m": (2, 1000, 0.00075), "x": (1, 1, None)}
+    assert survey.survey(titles.withColumn("context_id", F.lit("c")).limit(0)).first()["decision"] == "no_go"
+
+
+def test_weights_set_by_hand_are_divided_by_their_sum(spark):
+    v = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 0.5), ("b", "x", 0.2), ("b", "y", 0.9)], "alternative string, criterion string, value double")
+    w = spark.createDataFrame([("x", 3.0), ("y", 1.0)], "criterion string, weight double")
+    half = spark.createDataFrame([("x", 0.75, True), ("y", 0.25, True)], "criterion string, weight double, benefit boolean")
+    assert sorted(decide.live_topsis(v, w).collect()) == sorted(decide.topsis(v, half).collect())
+    assert decide.live_topsis(v, w.withColumn("weight", F.lit(0.0))).count() == 2
+
+
+def test_all_checks_in_one_pipeline(spark):
+    opts = [("A", "Huế", True, "LOC"), ("B", "Hà Nội", False, "LOC"), ("C", "Vinh", False, "LOC"), ("D", "Đà Lạt", False, "LOC")]
+    q = "Kinh đô của nhà Nguyễn thời ấy đặt ở đâu?"
+    rows = [(i, "c", x, opts, "Huế", k, b) for i, x, k, b in (("a", q, "A", "nhan_biet"), ("b", q + "?", "B", "van_dung"), ("c", "Đâu", "C", None), ("d", None, None, "nhan_biet"))]
+    df = spark.createDataFrame(rows, "item_id string, context_id string, question string, options array<struct<label string, text string, is_correct boolean, entity_type string>>, answer_text string, answer_key string, bloom string")
+    facts = spark.createDataFrame([("c", ["huế"])], "context_id string, facts array<string>")
+    labels = spark.createDataFrame([(i, "entailment", n == 0, "entailment" if n == 0 else "neutral") for i in "ab" for n in range(4)], "item_id string, evidence string, is_correct boolean, label string")
+    said = spark.createDataFrame([(i, "nhan_biet") for i in "abcd"], "item_id string, level string")
+    got = {r["item_id"]: r for r in verify.verify(df, facts, labels, said, "item_id").collect()}
+    assert set(got) == set("abcd")
+    assert got["a"]["violations"] == ["answer_position_ok"] and got["a"]["verdict"] == "accepted"
+    assert got["b"]["violations"] == ["duplicate_check", "bloom_fidelity", "answer_position_ok"]
+    assert {"evidence_match", "single_correct", "question_clarity", "bloom_fidelity"} <= set(got["c"]["violations"])
+    assert "answer_position_ok" in got["d"]["violations"]

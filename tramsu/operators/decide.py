@@ -53,6 +53,13 @@ def topsis(values: DataFrame, weights: DataFrame, by: tuple[str, ...] = ()) -> D
     return out.withColumn("rank", rank)
 
 
+def live_topsis(values: DataFrame, weights: DataFrame) -> DataFrame:
+    """topsis with weights as a user set them: divided by their sum (equal ones if that is 0), every criterion a benefit."""
+    total = weights.agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
+    share = F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(1 / F.col("n"))
+    return topsis(values, weights.join(total).select("criterion", share.alias("weight"), F.lit(True).alias("benefit")))
+
+
 def sensitivity(values: DataFrame, weights: DataFrame, vary: str, steps: int = 20, low: float = 0.01, high: float = 0.50) -> DataFrame:
     """step, w, alternative, topsis_score for weights of one criterion from low to high, the others
     scaled to what is left."""

@@ -147,6 +147,46 @@ def verdict(items: DataFrame) -> DataFrame:
     return scored.withColumn("verdict", F.when(F.col("score") >= ACCEPTED, "accepted").when(F.col("score") >= REVIEW, "needs_review").otherwise("rejected"))
 
 
+#: The score from which a check passes; knowledge never fails.
+PASSES = {
+    "evidence_match": 1.0, "single_correct": 1.0, "distractor_type_match": 0.6, "historical_correctness": 0.0,
+    "question_clarity": 0.6, "duplicate_check": 0.15, "bloom_fidelity": 1.0, "answer_position_ok": 0.6,
+}
+
+
+def failed(checks: dict[str, float] | None = None) -> Column:
+    """The names of the checks that an item fails, in their order: below the score from which each passes, or null. A duplicate
+    fails from a similarity of 0.85 on, which is a score of 0.15 or less."""
+    bounds = checks or PASSES
+    names = []
+    for n, least in bounds.items():
+        ok = F.coalesce(F.col(n) > least if n == "duplicate_check" else F.col(n) >= least, F.lit(False))
+        names.append(F.when(~ok, F.lit(n)))
+    return F.array_compact(F.array(*names))
+
+
+def verify(items: DataFrame, facts: DataFrame, labels: DataFrame, predicted: DataFrame, order: str) -> DataFrame:
+    """All checks of a bank in one pipeline: item_id, the eight scores, score, verdict, violations.
+
+    items: item_id, context_id, question, options, answer_text, answer_key, bloom and the order column; facts: context_id, facts (array of
+    names); labels: item_id, evidence, and whether each option is entailed: is_correct, label (one row an option); predicted: item_id, level.
+    An item without labels has no evidence and no single answer (0); duplicates are measured against earlier items."""
+    near = similar_questions(items.select("item_id", "question", order), order) if order != "item_id" else similar_questions(items.select("item_id", "question"), "item_id")
+    evidence = labels.groupBy("item_id").agg(F.max("evidence").alias("evidence"))
+    rows = (
+        items.join(facts, "context_id", "left").join(evidence, "item_id", "left").join(single_correct(labels), "item_id", "left")
+        .join(predicted.select("item_id", F.col("level").alias("said")), "item_id", "left").join(near.select(F.col("item").alias("item_id"), "similarity"), "item_id", "left")
+    )
+    checks = rows.select(
+        "item_id", "answer_key", *([order] if order != "item_id" else []), F.when(F.col("evidence").isNull(), 0.0).otherwise(evidence_match(F.col("evidence"))).alias("evidence_match"),
+        F.coalesce("single_correct", F.lit(0.0)).alias("single_correct"), distractor_type(F.col("options")).alias("distractor_type_match"),
+        known_in(F.col("answer_text"), F.col("facts")).alias("historical_correctness"), clarity(F.col("question")).alias("question_clarity"),
+        F.round(1 - F.coalesce("similarity", F.lit(0.0)), 6).alias("duplicate_check"), level_fidelity(F.col("said"), F.col("bloom")).alias("bloom_fidelity"),
+    )
+    done = verdict(position_balance(checks, [order]))
+    return done.withColumn("violations", failed()).select("item_id", *WEIGHTS, "score", "verdict", "violations")
+
+
 def method_summary(items: DataFrame) -> DataFrame:
     """method, n_items, vqr (share accepted), n_review, n_rejected, avg_score (NaN and null aside)."""
     score = F.when(~F.isnan("verifier_score"), F.col("verifier_score"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from tramsu.functions.normalize import LEVEL_PHRASES, WH_PHRASES
+from tramsu.operators import spans
 from tramsu.operators.decide import COMPARISON, CRITERIA
-from tramsu.operators.verify import PRONOUNS, WEIGHTS
+from tramsu.operators.items import OTHER_VERB, VERBS, WH_LEVELS
+from tramsu.operators.survey import CONDITIONAL, GO, HISTORY_KEYWORDS
+from tramsu.operators.verify import PASSES, PRONOUNS, WEIGHTS
 
 _C = "c as (select * from (select *, row_number() over (partition by context_id order by loaded_at, title) as rn from corpus) where rn = 1)"
 _Q = "q as (select * from (select *, row_number() over (partition by qa_id order by loaded_at) as rn from qa_pairs) where rn = 1)"
 _B = "b as (select * from (select *, row_number() over (partition by item_id order by created_at) as rn from exam_dashboard) where rn = 1)"
 _SPLIT = "case when lower(trim({0})) in ('train','training') then 'train' when lower(trim({0})) in ('dev','val','validation') then 'dev' else nullif(lower(trim({0})), '') end"
+_INDEXED = _C.replace("c as (", "c0 as (", 1) + f", c as (select * from c0 where {_SPLIT.format('split')} in ('train', 'dev'))"
 _WORDS = r"list_filter(regexp_split_to_array(replace({0}, chr(160), ' '), '\s+'), lambda x: x <> '')"
 _YEARS = r"regexp_extract_all(context, '\b(9\d\d|1\d{3}|20[0-2]\d)\b', 1)"
 _BLANKS = r"[\s\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}]"
@@ -87,6 +91,27 @@ _ASK = r"""ask as (select q, term, count(*) as times from (select id as q, unnes
  trim(regexp_extract(regexp_replace(question, '^\s*câu\s*\d+\s*[:.]\s*', '', 'i'), '^((?s:.*?))(\n\s*[A-D][.: ]|$)', 1)), chr(160), ' ')), '\s+'), lambda x: x <> '')) as term from exam_items) group by 1, 2)"""
 
 
+def _clean() -> str:
+    """The cleaning of spans, step by step."""
+    quote = lambda xs: ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
+    front = lambda xs: "(?i)^(?:" + "|".join(sorted(xs, key=len, reverse=True)) + rf"){_BLANKS}+"
+    edge = r"""[\s\x{a0},.\"''();:\-–]+"""
+    strip = lambda c: f"regexp_replace({c}, '^{edge}|{edge}$', '', 'g')"
+    year = spans.YEAR_ONLY
+    return f"""r as (select surface, type, count(*) as n from entities where surface is not null group by 1, 2),
+ a as (select *, {strip('surface')} as s, type in ('YEAR','DATE','CENTURY') as tm from r),
+ b1 as (select *, regexp_matches(s, '{year}') or regexp_matches(s, '{spans.SUBWORD}') or lower(s) in ({quote(spans.STOPWORDS)}) or (length(s) <= 3 and lower(s) not in ({quote(spans.SHORT_NAMES)}))
+  or {_any('lower(s)', spans.VERB_MARKERS)} or (type = 'ORG' and {_any('lower(s)', spans.RELIGION_MARKERS)}) as bad, regexp_matches(s, '{front(spans.TITLE_PREFIXES)}') as titled,
+  {strip(f"regexp_replace(regexp_replace(s, '{front(spans.TITLE_PREFIXES)}', ''), '{front(spans.COMMON_PREFIXES)}', '')")} as t from a),
+ b2 as (select *, bad or length(t) < 2 or regexp_matches(t, '{year}') or lower(t) in ({quote(spans.STOPWORDS)}) or regexp_matches(t, '^\\d+$') as out_ from b1)
+ select surface, type, n, case when tm then surface when not out_ then t end as clean_surface, case when tm then type when not out_ then case when titled then 'PER' else type end end as clean_type,
+ case when tm then surface when not out_ then replace(lower(t), ' ', '_') end as clean_normalized from b2"""
+
+
+_LIVE = [("vqr", 3.0), ("evidence_match", 2.0), ("bloom_fidelity", 1.0), ("duplicate_check", 0.5), ("question_clarity", 0.0)]
+_VERB = r"regexp_extract({0}, '(?:^|[^\p{{L}}\p{{N}}_])(" + "|".join(VERBS) + r")(?:[^\p{{L}}\p{{N}}_]|$)', 1)"
+
+
 def sql() -> dict[str, str]:
     score = " + ".join(f"{w} * coalesce({n}, 0)" for n, w in WEIGHTS.items())
     topsis = """t as (select *, w * value / nullif(sqrt(sum(value * value) over (partition by {p} criterion)), 0) as v from vals),
@@ -96,7 +121,33 @@ def sql() -> dict[str, str]:
  wr as (select i as criterion, round(w, 4) as w0 from w), wv as (select step, x, criterion, case when criterion = 'vqr' then x else w0 * (1 - x) / (1 - (select w0 from wr where criterion = 'vqr')) end as raw from wr, g),
  wn as (select step, x, criterion, raw / sum(raw) over (partition by step) as w from wv), vals as (select step, x, alternative, criterion, value, w from long join wn using (criterion)),
  {topsis.format(p="step, x,")}, sc as (select step, round(x, 3) as weight_varied, alternative, round(dn / (dp + dn + 1e-10), 4) as topsis_score from d)"""
+    near = """g as (select item_id, list_distinct(list_transform(range(1, length(question) - 1), lambda i: lower(question)[i:i+2])) as g from b where length(question) >= 3),
+ p as (select x.item_id as item, y.item_id as earlier, len(list_intersect(x.g, y.g)) as n, len(x.g) as a, len(y.g) as z from g x join g y on y.item_id < x.item_id and len(y.g) >= 0.84 * len(x.g) and len(x.g) >= 0.84 * len(y.g)),
+ near as (select item as item_id, max(round(n::double / (a + z - n), 6)) as similarity from p where round(n::double / (a + z - n), 6) >= 0.85 group by 1)"""
+    level = f"""lv as (select item_id, list_position(['nhan_biet','thong_hieu','van_dung','van_dung_cao'], {_level('question')}) as p, list_position(['nhan_biet','thong_hieu','van_dung','van_dung_cao'], bloom) as w from b),
+ fid as (select item_id, case when p > 0 and w > 0 then [1.0, 0.6, 0.2, 0.0][abs(p - w) + 1]::double end as bloom_fidelity from lv)"""
+    right = "len(list_filter(options, lambda o: o.is_correct))"
+    fails = ", ".join(f"case when not coalesce({n} {'>' if n == 'duplicate_check' else '>='} {least}, false) then '{n}' end" for n, least in PASSES.items())
     return {
+        "entity_clean": f"with {_clean()}",
+        "survey_decision": f"""with {_C}, h as (select count(distinct title) as n_titles, count(*) as n_passages, count(*) filter ({_any("lower(coalesce(title, ''))", HISTORY_KEYWORDS)}) as n_history from c)
+ select *, case when n_history >= {GO} then 'go' when n_history >= {CONDITIONAL} then 'conditional' else 'no_go' end as decision from h""",
+        "question_parts": rf"""with {_C}, {_Q}, s as (select qa_id, answer_text, c.title as t, context, string_split(regexp_replace(context, '([.!?]){_BLANKS}+', '\1' || chr(1), 'g'), chr(1)) as ss
+ from q join c using (context_id) where answer_text <> ''), e as (select *, coalesce(list_filter(ss, lambda x: contains(x, answer_text))[1], ss[1]) as sentence from s)
+ select qa_id, case when t <> '' then t else trim(string_split(substr(coalesce(context, ''), 1, 40), ',')[1]) end as subject, coalesce(nullif({_VERB.format("coalesce(sentence, '')")}, ''), '{OTHER_VERB}') as verb from e""",
+        "person_passages": f"""with {_C} select context_id, coalesce(bool_or(contains(lower(title), lower(surface))), false) as about_person from entities join (select context_id, title from c) using (context_id)
+ where type = 'PER' and surface is not null group by 1""",
+        "wh_levels": f"""with {_Q}, w as (select {_wh('question', 'answer_text')} as wh_type from q) select wh_type, case {' '.join(f"when wh_type = '{k}' then '{v}'" for k, v in WH_LEVELS.items())} end as level, count(*) as n from w group by 1, 2""",
+        "exam_methods": f"""with {_B}, {_USABLE}, r as (select item_id, title from u order by md5('42|' || item_id), item_id limit 40), m as (select item_id, min(method) as method from b group by 1)
+ select method, count(*) as n, count(distinct title) as titles from r join m using (item_id) group by 1""",
+        "live_ranking": f"""with {_B}, {_CRITERIA}, lw(criterion, w0) as (values {', '.join(f"('{c}', {w}::double)" for c, w in _LIVE)}), vals as (select alternative, criterion, value, w0 / (select sum(w0) from lw) as w from long join lw using (criterion)), {topsis.format(p='')}
+ select alternative, round(dn / (dp + dn + 1e-10), 4) as topsis_score, round(dp, 4) as d_pis, round(dn, 4) as d_nis, row_number() over (order by round(dn / (dp + dn + 1e-10), 4) desc, alternative)::int as rank from d""",
+        "bank_verification": f"""with {_B}, {_FACTS}, {_POSITION}, {near}, {level}, ch as (select b.item_id, case when coalesce(len(options), 0) = 0 then 0.0 when evidence_match >= 0.9 then 1.0 when evidence_match >= 0.4 then 0.4 else 0.0 end as evidence_match,
+ case when {right} = 1 then 1.0 when {right} = 2 then 0.0 else 0.0 end as single_correct, {_TYPES} as distractor_type_match, ({_KNOWN})::double as historical_correctness,
+ {_clarity('coalesce(question, chr(32))')} as question_clarity, round(1 - coalesce(similarity, 0.0), 6)::double as duplicate_check, fid.bloom_fidelity, answer_position_ok
+ from b left join facts using (context_id) left join pos on b.item_id = pos.item_id left join near on b.item_id = near.item_id left join fid on b.item_id = fid.item_id),
+ s as (select *, round(({score})::double, 4) as score from ch) select item_id, score, case when score >= 0.75 then 'accepted' when score >= 0.55 then 'needs_review' else 'rejected' end as verdict,
+ concat_ws(',', {fails}) as violations from s""",
         "corpus_dedup_first": f"with {_C} select context_id, title, md5(context) as text_md5 from c",
         "text_stats": f"""with {_C}, y as (select context_id, len({_WORDS.format('context')}) as n_tokens, {_YEARS} as ys from c)
  select context_id, n_tokens::int as n_tokens, len(ys)::int as n_years, case when n_tokens > 0 then round(100.0::double * len(ys) / n_tokens, 2) else 0.0 end as year_density,
@@ -133,8 +184,8 @@ def sql() -> dict[str, str]:
  case when not coalesce(array_to_string(list_sort(list_transform(options, lambda o: o.label)), '') = 'ABCD', false) then 'labels' end,
  case when not coalesce(len(list_distinct(tx)) + (list_count(tx) < len(tx))::int = len(tx), false) then 'texts_distinct' end, case when not coalesce(len(right_) = 1, false) then 'one_correct' end,
  case when not coalesce(right_[1].label = answer_key and right_[1].text = answer_text, false) then 'key_text' end) as broken from r""",
-        "bm25_topk": f"with {_C}, {_ASK}, {_bm25('k', 'context', 10)} select * from k",
-        "rrf_fusion": f"""with {_C}, {_ASK}, {_bm25('k', 'context', 15)}, {_bm25('z', 'title', 15)}, f as (select q, doc, round(sum(1.0::double / (60 + rank)), 6) as score
+        "bm25_topk": f"with {_INDEXED}, {_ASK}, {_bm25('k', 'context', 10)} select * from k",
+        "rrf_fusion": f"""with {_INDEXED}, {_ASK}, {_bm25('k', 'context', 15)}, {_bm25('z', 'title', 15)}, f as (select q, doc, round(sum(1.0::double / (60 + rank)), 6) as score
  from (select q, doc, rank from k union all select q, doc, rank from z) group by 1, 2)
  select q, doc, score, rank from (select *, row_number() over (partition by q order by score desc, doc) as rank from f) where rank <= 5""",
         "dense_topk": """select q, doc, rank from (select a.vec_id as q, v.vec_id as doc, row_number() over (partition by a.vec_id order by round(list_inner_product(a.embedding::double[], v.embedding::double[]), 4) desc, v.vec_id) as rank

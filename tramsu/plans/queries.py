@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tramsu.functions import normalize as N
 from tramsu.functions.splits import split_name
 from tramsu.operators import corpus as C
-from tramsu.operators import decide, eda, exam, items, models, retrieve, spans, verify
+from tramsu.operators import decide, eda, exam, items, models, retrieve, spans, survey, verify
 from tramsu.session import cut, read
 
 FLAGSHIP = "bank_scorecard"
@@ -24,6 +24,11 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     return C.keep_first(read(spark, d, "corpus"), "context_id", "loaded_at", "title")
 
 
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Passages that may be searched: those of test would leak into what is made from the results."""
+    return _corpus(spark, d).where(split_name(F.col("split")).isin("train", "dev"))
+
+
 def _qa(spark: SparkSession, d: str) -> DataFrame:
     return C.keep_first(read(spark, d, "qa_pairs"), "qa_id", "loaded_at")
 
@@ -132,7 +137,7 @@ def item_violations(spark, d):
 
 def bm25_topk(spark, d):
     q = read(spark, d, "exam_items").select(F.col("id").alias("q"), N.stem(F.col("question")).alias("text"))
-    return retrieve.bm25(_corpus(spark, d), q, "context_id", "context", 10)
+    return retrieve.bm25(_indexed(spark, d), q, "context_id", "context", 10)
 
 
 def dense_topk(spark, d):
@@ -142,7 +147,7 @@ def dense_topk(spark, d):
 
 def rrf_fusion(spark, d):
     q = read(spark, d, "exam_items").select(F.col("id").alias("q"), N.stem(F.col("question")).alias("text"))
-    c = _corpus(spark, d)
+    c = _indexed(spark, d)
     return retrieve.fuse(cut(retrieve.bm25(c, q, "context_id", "context", 15)), retrieve.bm25(c, q, "context_id", "title", 15), 5)
 
 
@@ -184,6 +189,18 @@ def verify_verdict(spark, d):
     return verify.verdict(verify.position_balance(checks, ["item_id"])).select("item_id", "score", "verdict")
 
 
+def bank_verification(spark, d):
+    """All eight checks in one pipeline. Labels of inference come from the bank's evidence score: entailment from 0.9, neutral from
+    0.4; the right option is entailed, the others are neutral. The level is the keyword level."""
+    b = _bank(spark, d)
+    facts = read(spark, d, "entities").where("surface is not null").groupBy("context_id").agg(F.collect_set("surface").alias("facts"))
+    evidence = F.when(F.col("evidence_match") >= 0.9, "entailment").when(F.col("evidence_match") >= 0.4, "neutral").otherwise("contradiction")
+    labels = b.select("item_id", evidence.alias("evidence"), F.explode("options.is_correct").alias("is_correct")).withColumn("label", F.when(F.col("is_correct"), "entailment").otherwise("neutral"))
+    predicted = b.select("item_id", N.keyword_level(F.col("question")).alias("level"))
+    done = verify.verify(b, facts, labels, predicted, "item_id")
+    return done.select("item_id", "score", "verdict", F.array_join("violations", ",").alias("violations"))
+
+
 def method_summary(spark, d):
     return verify.method_summary(_bank(spark, d))
 
@@ -223,6 +240,12 @@ def sensitivity_crossover(spark, d):
     return decide.crossovers(cut(decide.sensitivity(cut(_criteria(spark, d)), _weights(spark), "vqr")))
 
 
+def live_ranking(spark, d):
+    """The alternatives under weights as a user sets them."""
+    set_ = spark.createDataFrame([("vqr", 3.0), ("evidence_match", 2.0), ("bloom_fidelity", 1.0), ("duplicate_check", 0.5), ("question_clarity", 0.0)], "criterion string, weight double")
+    return decide.live_topsis(_criteria(spark, d), set_)
+
+
 def method_strengths(spark, d):
     return decide.strengths(_criteria(spark, d))
 
@@ -256,6 +279,31 @@ def strategy_comparison(spark, d):
     return exam.compare({"optimal": exam.best(u, K, t, PER_CONTEXT), "greedy": exam.greedy(u, K, t, PER_CONTEXT), "random": exam.at_random(u, K)}, "random")
 
 
+def exam_methods(spark, d):
+    u = exam.usable(_bank(spark, d))
+    return exam.method_counts(exam.at_random(u, K), _bank(spark, d))
+
+
+def survey_decision(spark, d):
+    return survey.survey(_corpus(spark, d))
+
+
+def question_parts(spark, d):
+    """What rule-based questions are made of: the subject of a passage and the verb of the sentence that holds the answer."""
+    qa = _qa(spark, d).where("answer_text <> ''").join(_corpus(spark, d).select("context_id", F.col("title").alias("t"), "context"), "context_id")
+    sentence = N.find_evidence(F.col("context"), F.col("answer_text"))["sentence"]
+    return qa.select("qa_id", items.subject(F.col("t"), F.col("context")).alias("subject"), items.verb_of(sentence).alias("verb"))
+
+
+def person_passages(spark, d):
+    return items.about_persons(_corpus(spark, d), read(spark, d, "entities"))
+
+
+def wh_levels(spark, d):
+    wh = N.wh_type(F.col("question"), F.col("answer_text"))
+    return _qa(spark, d).groupBy(wh.alias("wh_type"), items.level_of_wh(wh).alias("level")).agg(F.count("*").alias("n"))
+
+
 def bank_kpis(spark, d):
     b = _bank(spark, d)
     score = F.when(~F.isnan("verifier_score"), F.col("verifier_score"))
@@ -274,9 +322,9 @@ def level_report(spark, d):
 
 
 def level_classifier(spark, d):
-    """A classifier of keyword levels, trained on the stems of the questions of three methods' two
+    """A classifier of keyword levels, trained on the stems of the questions of two methods
     and judged on the third's; accuracy by class."""
-    rows = cut(_bank(spark, d).where("question is not null").select("method", "question", N.keyword_level(F.col("question")).alias("level")))
+    rows = cut(_bank(spark, d).where("question is not null").select("method", N.stem(F.col("question")).alias("question"), N.keyword_level(F.col("question")).alias("level")))
     model = models.train_level_classifier(rows.where("method <> 'rag_llm'"), "question", "level")
     return models.class_report(models.predict_level(model, rows.where("method = 'rag_llm'"), "question"), "level", "predicted")
 
@@ -286,7 +334,7 @@ def queries() -> dict:
     evidence_sentence training_pairs value_counts token_quantiles token_histogram question_rates temporal_extract entity_clean distractor_pool distractor_ladder
     generated_items item_violations bm25_topk dense_topk rrf_fusion near_questions question_clarity known_answers distractor_types position_balance level_fidelity
     verify_verdict method_summary level_agreement ahp_weights topsis_sensitivity sensitivity_crossover method_strengths bloom_targets exam_random exam_greedy
-    exam_optimal exam_statistics strategy_comparison bank_kpis filtered_bank level_report level_classifier"""
+    exam_optimal exam_statistics exam_methods live_ranking bank_verification survey_decision question_parts person_passages wh_levels strategy_comparison bank_kpis filtered_bank level_report level_classifier"""
     return {n: globals()[n] for n in names.split()}
 
 
