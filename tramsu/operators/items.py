@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramsu.functions import normalize as N
+from tramsu.operators.ordered import running_sums
 
 #: Which entity types answer which kind of question.
 WH_TYPES = {"thoi_gian": ["YEAR", "DATE"], "nhan_vat": ["PER"], "dia_diem": ["LOC"], "su_kien": ["ORG", "LOC", "PER"]}
@@ -38,11 +39,12 @@ def drawn(seed: int, *parts: Column) -> Column:
 
 def distractor_pool(entities: DataFrame) -> DataFrame:
     """type, bucket, surface (years without the word for year), pos, size: each bucket's distinct
-    surfaces in a reproducible random order. One row a surface, so no bucket is ever one value."""
-    rows = entities.where("surface is not null and bucket is not null").select("type", "bucket", N.answer_surface(F.col("surface"), F.col("type")).alias("surface")).distinct()
-    order = Window.partitionBy("type", "bucket").orderBy(F.md5("surface"), "surface")
+    surfaces in a reproducible random order. One row a surface, so no bucket is ever one value; places are counted by
+    running sums over all partitions, so none is ever sorted in one task either. Rows without type or bucket are left out."""
+    rows = entities.where("surface is not null and bucket is not null and type is not null").select("type", "bucket", N.answer_surface(F.col("surface"), F.col("type")).alias("surface")).distinct()
     size = rows.groupBy("type", "bucket").agg(F.count("*").alias("size"))
-    return rows.withColumn("pos", F.row_number().over(order) - 1).join(size, ["type", "bucket"])
+    placed = running_sums(rows.withColumns({"_h": F.md5("surface"), "_one": F.lit(1).cast("long")}), ["_h", "surface"], {"_n": "_one"}, by=("type", "bucket"))
+    return placed.select("type", "bucket", "surface", (F.col("_n") - 1).cast("int").alias("pos")).join(size, ["type", "bucket"])
 
 
 def ladder(answers: DataFrame, steps: int = 2) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramsu.session import cut
+
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 
 
@@ -21,7 +23,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, text: str, top: int = 10
     """queries: q, text. q, doc, score, rank of the top documents with a score above 0 by BM25 Okapi
     (negative inverse document frequencies become a quarter of the mean one); ties by doc. A term
     repeated in a query counts repeatedly. Only the terms of queries are joined with the postings."""
-    post = tokens(docs, key, text)
+    post = cut(tokens(docs, key, text))  # read three times
     lengths = post.select("doc", "dl").distinct().agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(lengths)
     idf = df.select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))

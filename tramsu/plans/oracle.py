@@ -117,10 +117,10 @@ def sql() -> dict[str, str]:
     topsis = """t as (select *, w * value / nullif(sqrt(sum(value * value) over (partition by {p} criterion)), 0) as v from vals),
  t2 as (select *, max(v) over (partition by {p} criterion) as best, min(v) over (partition by {p} criterion) as worst from t),
  d as (select {p} alternative, sqrt(sum((v - best) * (v - best))) as dp, sqrt(sum((v - worst) * (v - worst))) as dn from t2 group by {p} alternative)"""
-    sens = f"""with {_B}, {_AHP}, {_CRITERIA}, g as (select range as step, 0.01 + range * 0.49 / 19 as x from range(20)),
- wr as (select i as criterion, round(w, 4) as w0 from w), wv as (select step, x, criterion, case when criterion = 'vqr' then x else w0 * (1 - x) / (1 - (select w0 from wr where criterion = 'vqr')) end as raw from wr, g),
+    sens_of = lambda vary, by="method": f"""with {_B}, {_AHP}, {_CRITERIA.replace("method as", by + " as")}, g as (select range as step, 0.01 + range * 0.49 / 19 as x from range(20)),
+ wr as (select i as criterion, round(w, 4) as w0 from w), wv as (select step, x, criterion, case when criterion = '{vary}' then x else w0 * (1 - x) / (1 - (select w0 from wr where criterion = '{vary}')) end as raw from wr, g),
  wn as (select step, x, criterion, raw / sum(raw) over (partition by step) as w from wv), vals as (select step, x, alternative, criterion, value, w from long join wn using (criterion)),
- {topsis.format(p="step, x,")}, sc as (select step, round(x, 3) as weight_varied, alternative, round(dn / (dp + dn + 1e-10), 4) as topsis_score from d)"""
+ {topsis.format(p="step, x,")}, sc as (select step, round(x, 3) as weight_varied, alternative, round(dn / (dp + dn + 1e-10), 4) as topsis_score from d)"""
     near = """g as (select item_id, list_distinct(list_transform(range(1, length(question) - 1), lambda i: lower(question)[i:i+2])) as g from b where length(question) >= 3),
  p as (select x.item_id as item, y.item_id as earlier, len(list_intersect(x.g, y.g)) as n, len(x.g) as a, len(y.g) as z from g x join g y on y.item_id < x.item_id and len(y.g) >= 0.84 * len(x.g) and len(x.g) >= 0.84 * len(y.g)),
  near as (select item as item_id, max(round(n::double / (a + z - n), 6)) as similarity from p where round(n::double / (a + z - n), 6) >= 0.85 group by 1)"""
@@ -211,10 +211,13 @@ def sql() -> dict[str, str]:
         "ahp_weights": f"with {_AHP} select i as criterion, round(w, 4) as weight, round(l, 4) as lambda_max, round((l - n) / (n - 1) / 1.41, 4) as cr from w, l",
         "bank_scorecard": f"""with {_B}, {_AHP}, {_CRITERIA}, vals as (select alternative, criterion, value, round(w.w, 4) as w from long join w on criterion = i), {topsis.format(p='')}
  select alternative, round(dn / (dp + dn + 1e-10), 4) as topsis_score, round(dp, 4) as d_pis, round(dn, 4) as d_nis, row_number() over (order by round(dn / (dp + dn + 1e-10), 4) desc, alternative)::int as rank from d""",
-        "topsis_sensitivity": f"{sens} select * from sc",
-        "sensitivity_crossover": f"""{sens}, z as (select a.step, a.weight_varied as w, a.alternative as a, y.alternative as b, a.topsis_score > y.topsis_score as now from sc a join sc y on a.step = y.step and a.alternative < y.alternative),
+        "topsis_sensitivity": f"{sens_of('vqr')} select * from sc",
+        "sensitivity_crossover": " union all ".join(
+            f"""select * from ({sens_of(c, "wh_type")}, z as (select a.step, a.weight_varied as w, a.alternative as a, y.alternative as b, a.topsis_score > y.topsis_score as now from sc a join sc y on a.step = y.step and a.alternative < y.alternative),
  z2 as (select *, lag(now) over (partition by a, b order by step) as was, lag(w) over (partition by a, b order by step) as w_was from z)
- select a, b, step, round((w + w_was) / 2, 4) as weight from z2 where was is not null and now <> was""",
+ select a, b, step, round((w + w_was) / 2, 4) as weight, '{c}' as varied from z2 where was is not null and now <> was)"""
+            for c in ("vqr", "evidence_match", "bloom_fidelity", "duplicate_check", "question_clarity")
+        ),
         "method_strengths": f"""with {_B}, {_CRITERIA}, t as (select *, value = max(value) over (partition by criterion) as lead_ from long), t2 as (select *, lead_ and sum(lead_::int) over (partition by criterion) = 1 as alone from t)
  select alternative, coalesce(nullif(array_to_string(list_sort(list(criterion) filter (alone)), ','), ''), arg_max(criterion, (value, criterion))) as best_at from t2 group by 1""",
         "bloom_targets": """with r(i, level, r) as (values (0,'nhan_biet',0.4::double),(1,'thong_hieu',0.35::double),(2,'van_dung',0.2::double),(3,'van_dung_cao',0.05::double)),

@@ -210,13 +210,17 @@ def level_agreement(spark, d):
     return verify.agreement(b.select("item_id", N.keyword_level(F.col("question")).alias("a"), F.when(F.col("bloom_fidelity") == 1, F.col("bloom")).alias("b"), F.col("bloom").alias("wanted")).where("b is not null"))
 
 
-def _criteria(spark, d) -> DataFrame:
+#: The criteria that the test tables hold.
+CRITERIA_HELD = ("vqr", "evidence_match", "bloom_fidelity", "duplicate_check", "question_clarity")
+
+
+def _criteria(spark, d, by: str = "method") -> DataFrame:
     b = _bank(spark, d).withColumn("clarity", verify.clarity(F.col("question")))
-    per = b.groupBy(F.col("method").alias("alternative")).agg(
+    per = b.groupBy(F.col(by).alias("alternative")).agg(
         F.avg((F.col("status") == "accepted").cast("double")).alias("vqr"), F.avg("evidence_match").alias("evidence_match"), F.avg("bloom_fidelity").alias("bloom_fidelity"),
         F.avg("duplicate_check").alias("duplicate_check"), F.avg("clarity").alias("question_clarity"),
     )
-    long = per.unpivot(["alternative"], ["vqr", "evidence_match", "bloom_fidelity", "duplicate_check", "question_clarity"], "criterion", "value")
+    long = per.unpivot(["alternative"], list(CRITERIA_HELD), "criterion", "value")
     return long.withColumn("value", F.round("value", 6))
 
 
@@ -237,7 +241,12 @@ def topsis_sensitivity(spark, d):
 
 
 def sensitivity_crossover(spark, d):
-    return decide.crossovers(cut(decide.sensitivity(cut(_criteria(spark, d)), _weights(spark), "vqr")))
+    """Where two kinds of questions change places as the weight of one criterion grows, for every criterion."""
+    values, weights, found = cut(_criteria(spark, d, "wh_type")), cut(_weights(spark)), None
+    for c in CRITERIA_HELD:
+        one = decide.crossovers(cut(decide.sensitivity(values, weights, c))).withColumn("varied", F.lit(c))
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def live_ranking(spark, d):
