@@ -178,6 +178,13 @@ def test_similar_questions_equal_brute_force(spark):
     assert got == want
 
 
+def test_grams_of_questions_are_not_broadcast(spark):
+    """The planner takes them to be as large as the scan, which is under the bound of broadcasts; they are many times larger."""
+    df = spark.createDataFrame([(f"i{n}", f"Vua nao len ngoi nam {n}?") for n in range(20)], "item_id string, question string")
+    found = verify.similar_questions(df, "item_id")
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_ahp_and_topsis_goldens(spark):
     w = {r["criterion"]: (r["weight"], r["lambda_max"], r["cr"]) for r in decide.ahp(decide.comparison_matrix(spark)).collect()}
     assert w["vqr"] == (0.2566, 8.227, 0.023) and w["duplicate_check"][0] == 0.0451

@@ -108,13 +108,15 @@ def similar_questions(items: DataFrame, order: str, least: float = 0.85) -> Data
     Exact. Two sets that reach least differ in at most d grams, a number that their sizes bound. Grams are dealt by hash to
     d + 1 parts, of which at least one is the same in both sets, and texts are joined by whole parts. Sizes fall into
     classes, and the number of parts is that of the larger one's class. Before texts are compared, their
-    parity sketches must differ in no more than d bits."""
+    parity sketches must differ in no more than d bits.
+
+    Joins are by sorting: the planner takes grams and parts to be about as large as the scanned file and would broadcast them."""
     span = (1 - least) / (1 + least)
     grams = F.array_sort(F.array_distinct(F.transform(N.trigrams(F.lower(F.col("question"))), lambda x: F.xxhash64(x))))
     t = cut(items.select("item_id", F.col(order).alias("pos"), grams.alias("g")).where("size(g) > 0").withColumn("sig", F.xxhash64("g")))
     texts = t.groupBy("sig").agg(F.min(F.struct("pos", "item_id")).alias("m"), F.first("g").alias("g")).select("sig", F.col("m.pos").alias("pos"), F.col("m.item_id").alias("item"), "g", F.size("g").alias("n"))
     texts = cut(texts.withColumns(_sketch()))
-    again = t.join(texts.select("sig", F.col("item").alias("earlier")), "sig").where("item_id <> earlier")
+    again = t.join(texts.select("sig", F.col("item").alias("earlier")).hint("merge"), "sig").where("item_id <> earlier")
     again = again.select(F.col("item_id").alias("item"), F.lit(1.0).alias("similarity"), "earlier").distinct()
     own = F.floor(F.round(F.log("n") / -math.log(least), 9)).cast("int")
     parts = (F.floor(2 * span * F.pow(F.lit(1 / least), F.col("c") + 1)) + 1).cast("int")
@@ -126,12 +128,13 @@ def similar_questions(items: DataFrame, order: str, least: float = 0.85) -> Data
     for w in range(4):
         bits = F.bit_count(F.col(f"a.s{w}").bitwiseXOR(F.col(f"b.s{w}")))
         differ = bits if differ is None else differ + bits
-    met = a.join(b, F.col("a.key") == F.col("b.key")).where(
+    met = a.join(b.hint("merge"), F.col("a.key") == F.col("b.key")).where(
         (F.struct("b.pos", "b.item") < F.struct("a.pos", "a.item")) & (F.col("b.n") >= least * F.col("a.n") - 1e-9) & (F.col("a.n") >= least * F.col("b.n") - 1e-9)
         & (differ <= span * (F.col("a.n") + F.col("b.n")) + 1e-9)
     )
     cand = met.select(F.col("a.sig").alias("x"), F.col("b.sig").alias("y")).distinct()
-    full = cand.join(texts.select(F.col("sig").alias("x"), "item", F.col("g").alias("ga")), "x").join(texts.select(F.col("sig").alias("y"), F.col("item").alias("earlier"), F.col("g").alias("gb")), "y")
+    full = cand.join(texts.select(F.col("sig").alias("x"), "item", F.col("g").alias("ga")).hint("merge"), "x")
+    full = full.join(texts.select(F.col("sig").alias("y"), F.col("item").alias("earlier"), F.col("g").alias("gb")).hint("merge"), "y")
     near = full.withColumn("similarity", F.round(N.jaccard(F.col("ga"), F.col("gb")), 6)).where(F.col("similarity") >= least)
     best = near.groupBy("item").agg(F.min(F.struct((-F.col("similarity")).alias("far"), "earlier")).alias("m"))
     return again.unionByName(best.select("item", (-F.col("m.far")).alias("similarity"), F.col("m.earlier").alias("earlier")))
