@@ -6,6 +6,7 @@ from collections import Counter
 from fractions import Fraction
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,11 @@ def test_entities(spark):
 # --- p2
 
 
+def test_a_form_without_another_reading_is_read_as_it_is():
+    got = pd.concat(variants._attribute([pd.DataFrame({"v": ["n. hue|"], "read": [None], "cost": [0.0], "c": ["nguyen hue|"], "m": [3]})]))
+    assert got[["v", "c"]].values.tolist() == [["n. hue|", "nguyen hue|"]]
+
+
 def test_sample_meets_targets(spark):
     levels = ["nhan_biet"] * 400 + ["Thông hiểu"] * 300 + ["van_dung"] * 60 + ["van-dung-cao"] * 2
     rows = [(f"i{k}", b, "T", 0.5) for k, b in enumerate(levels)] + [("bad", "van_dung", "T", float("nan")), ("bad2", "van_dung", "T", 1.5), (None, "van_dung", "T", 0.5), ("nob", None, "T", 0.5)] + [("i0", "nhan_biet", "T", 0.5)]
