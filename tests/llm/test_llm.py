@@ -88,6 +88,13 @@ def test_a_form_without_another_reading_is_read_as_it_is():
     assert got[["v", "c"]].values.tolist() == [["n. hue|", "nguyen hue|"]]
 
 
+def test_texts_of_nodes_are_shuffled_once(spark):
+    rows = spark.createDataFrame([("b", "Ai xây thành?", 1), ("a", "Ai  xây thành", 1), ("c", "Khi nào?", 2)], "key string, text string, rid long")
+    nodes = questions.with_text(rows)
+    assert nodes._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, nodes.collect())) == [(1, "Ai  xây thành"), (2, "Khi nào?")]
+
+
 def test_sample_meets_targets(spark):
     levels = ["nhan_biet"] * 400 + ["Thông hiểu"] * 300 + ["van_dung"] * 60 + ["van-dung-cao"] * 2
     rows = [(f"i{k}", b, "T", 0.5) for k, b in enumerate(levels)] + [("bad", "van_dung", "T", float("nan")), ("bad2", "van_dung", "T", 1.5), (None, "van_dung", "T", 0.5), ("nob", None, "T", 0.5)] + [("i0", "nhan_biet", "T", 0.5)]
