@@ -95,6 +95,22 @@ def test_texts_of_nodes_are_shuffled_once(spark):
     assert sorted(map(tuple, nodes.collect())) == [(1, "Ai  xây thành"), (2, "Khi nào?")]
 
 
+def test_signs_of_words_end_with_their_task():
+    import gc
+    import weakref
+
+    counts = overlap.np.ones(overlap.CELLS, dtype="int32")
+    signs = overlap.Signs(counts, counts > 0, 1, 0.5, False)
+    list(signs.rows(["ai", "thanh"]))
+    gone = weakref.ref(signs)
+    gc.disable()
+    try:
+        del signs
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 def test_sample_meets_targets(spark):
     levels = ["nhan_biet"] * 400 + ["Thông hiểu"] * 300 + ["van_dung"] * 60 + ["van-dung-cao"] * 2
     rows = [(f"i{k}", b, "T", 0.5) for k, b in enumerate(levels)] + [("bad", "van_dung", "T", float("nan")), ("bad2", "van_dung", "T", 1.5), (None, "van_dung", "T", 0.5), ("nob", None, "T", 0.5)] + [("i0", "nhan_biet", "T", 0.5)]
