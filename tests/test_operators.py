@@ -399,3 +399,13 @@ def test_all_checks_in_one_pipeline(spark):
     assert got["b"]["violations"] == ["duplicate_check", "bloom_fidelity", "answer_position_ok"]
     assert {"evidence_match", "single_correct", "question_clarity", "bloom_fidelity"} <= set(got["c"]["violations"])
     assert "answer_position_ok" in got["d"]["violations"]
+
+
+def test_checks_are_made_once_for_what_reads_them_thrice(spark):
+    opts = [("A", "Huế", True, "LOC"), ("B", "Hà Nội", False, "LOC")]
+    df = spark.createDataFrame([("a", "c", "Kinh đô ở đâu?", opts, "Huế", "A", "nhan_biet")], "item_id string, context_id string, question string, options array<struct<label string, text string, is_correct boolean, entity_type string>>, answer_text string, answer_key string, bloom string")
+    facts = spark.createDataFrame([("c", ["huế"])], "context_id string, facts array<string>")
+    labels = spark.createDataFrame([("a", "entailment", True, "entailment")], "item_id string, evidence string, is_correct boolean, label string")
+    said = spark.createDataFrame([("a", "nhan_biet")], "item_id string, level string")
+    plan = verify.verify(df, facts, labels, said, "item_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan  # the joins of the checks end at a checkpoint
