@@ -213,6 +213,79 @@ def test_sharing_of_long_texts_by_sample(spark):
     assert got == {(2 * i, 2 * i + 1) for i in range(60)}
 
 
+def _cell(word):
+    return overlap.hash_of(word) % overlap.CELLS
+
+
+def test_words_of_one_side_alone_are_shared_by_no_pair(spark):
+    rows = [("ai xây chùa này", 1), ("ai dựng chùa kia", 1), ("ai xây thành", 2), ("ai phá thành", 2), ("ai giữ đền", 3), ("kẻ nào", 1)]
+    counts, named = overlap.word_counts(spark.createDataFrame(rows, "text string, side int"))
+    assert [int(counts[_cell(w)]) for w in ("ai", "xay", "chua", "thanh", "den", "ke")] == [5, 2, 1, 1, 1, 1]
+    signs = overlap.Signs(counts, named, 6, 0.5, False)
+    assert [len(keys) for keys, _ in signs.rows(fold_words("ai xây chùa này"))] == [1]  # what xay and ai, the last ones, may be missing
+    assert [len(keys) for keys, _ in signs.rows(fold_words("kẻ nào"))] == [0]
+
+
+def test_words_with_one_code_count_each(spark):
+    by = {}
+    for i in range(3000):
+        w = f"chùa{i}x"
+        by.setdefault(overlap.hash_of(fold_words(w)[0]) >> 48 & 0x7FFF, []).append(w)
+    alike = [w[:2] for w in by.values() if len(w) > 1][:20]
+    rows = [(2 * i + k, f"{a} {b} {other}", k == 0, k == 1) for i, (a, b) in enumerate(alike) for k, other in enumerate(("nào", "đâu"))]
+    got = {(r["x"], r["y"]) for r in overlap.sharing(spark.createDataFrame(rows, "rid long, text string, left boolean, right boolean"), 0.66).collect()}
+    assert len(alike) == 20 and got == {(2 * i, 2 * i + 1) for i in range(20)}
+
+
+def _keys(own, start, slack, common, need, key, expected, most, depth, hot):
+    """Keys of a text, word by word; own: place, count, weight."""
+    for i in range(start, len(own)):
+        if slack < 0:
+            return
+        place, count, weight = own[i]
+        if count > 1:
+            k = (key * 0x9E3779B97F4A7C15 ^ place) * 0xC2B2AE3D27D4EB4F % 2**64
+            k ^= k >> 29
+            e = min(count, expected / 2)
+            if e <= hot or depth == overlap.DEPTH or common + weight >= need:
+                yield k - (k >> 63 << 64), min(most, count)
+            if e > hot and depth < overlap.DEPTH:
+                yield from _keys(own, i + 1, slack, common + weight, need, k, e, min(most, count), depth + 1, hot)
+        slack -= weight
+
+
+@pytest.mark.parametrize("sample", [False, True])
+def test_keys_of_many_texts_are_those_of_each(sample):
+    rng = random.Random(13)
+    plain = _passage(rng, 60) + ["12", "1954"]
+    texts = [" ".join(rng.choices(plain, k=rng.choice([1, 2, 9, 50, 100]))) for _ in range(80)]
+    counts = overlap.np.array([rng.choice([1, 2, 5, 40, 3000]) for _ in range(1 << 10)] * (overlap.CELLS >> 10), dtype="int32")
+    signs = overlap.Signs(counts, counts % 2 == 1, 5000, 0.55, sample, 30)
+    row, sizes, codes, whose, keys, most = signs.of(texts)
+    ends = sizes.cumsum()
+    assert set(row.tolist()) == set(range(80)) and (len(row) > 80) == sample and ends[-1] == len(codes)
+    at, hashes, place, count, heavy, classes = signs._ordered(texts)
+    for r in range(len(row)):
+        a, b = int(ends[r] - sizes[r]), int(ends[r])
+        own = list(zip(place[a:b].tolist(), count[a:b].tolist(), [4 if h else 1 for h in heavy[a:b]], strict=True))
+        total = sum(o[2] for o in own)
+        need = -(-(total * 55) // 100)
+        want = sorted(_keys(own, 0, total - need, 0, need, int(classes[at[a]]) + 1, 10000.0, 5000, 1, 30))
+        assert own == sorted(own) and want == sorted(zip(keys[whose == r].tolist(), most[whose == r].tolist(), strict=True))
+        if not sample:
+            assert b - a == len(set(fold_words(texts[row[r]])))
+
+
+def test_names_of_many_texts_are_those_of_each():
+    texts = ["Ai là vua? Vua Hùng ở Phú Thọ.", "AI XÂY THÀNH ĐẠI LA", "khi nào", "— Năm 1954: Điện Biên", "1. Hà Nội là đâu... Nội", "", "a B"]
+    who, cell, told, named = overlap._word_cells(texts)
+    words = {(i, _cell(w)) for i, t in enumerate(texts) for w in fold_words(t)}
+    assert sorted(zip(who.tolist(), cell.tolist(), strict=True)) == sorted(words)
+    assert {i for i, t in zip(who.tolist(), told, strict=True) if t} == {0, 3, 4, 6}
+    got = {(i, c) for i, c, n in zip(who.tolist(), cell.tolist(), named, strict=True) if n}
+    assert got == {(i, _cell(w)) for i, ws in {0: "hung phu tho", 3: "bien", 4: "noi", 6: "b"}.items() for w in ws.split()}
+
+
 # --- p4
 
 
