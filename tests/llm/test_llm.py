@@ -286,6 +286,16 @@ def test_names_of_many_texts_are_those_of_each():
     assert got == {(i, _cell(w)) for i, ws in {0: "hung phu tho", 3: "bien", 4: "noi", 6: "b"}.items() for w in ws.split()}
 
 
+def test_texts_of_records_in_no_pair_are_not_shuffled(spark):
+    rng = random.Random(17)
+    rids = [rng.getrandbits(64) - 2**63 for _ in range(3000)]
+    nodes = spark.createDataFrame([(r, str(r)) for r in rids], "rid long, text string")
+    pairs = spark.createDataFrame(list(zip(rids[:50], rids[50:100], strict=True)), "x long, y long")
+    got = [r["rid"] for r in questions.of_pairs(nodes, pairs).collect()]
+    assert len(got) == len(set(got)) < 110 and set(rids[:100]) <= set(got)
+    assert questions.of_pairs(nodes, pairs.where("false")).count() == 0
+
+
 # --- p4
 
 
